@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from .binding import last_per_key, let, quote
 from .numbers import json_f64_sql
-from .text import json_str_sql, sanitize_label_sql
+from .text import sanitize_label_sql
 
 LABELS_TYPE = "array<struct<k:string,v:string>>"
-_VARIANT_DEPTH = 3
 _U64 = "DECIMAL(20,0)"
 
 # JSON text whose members print differently through a plain string map: floats,
 # integers of 19 digits and more, nested arrays and objects.
-_NEEDS_EXACT = r":\s*(-?[0-9]+[.eE]|-?[0-9]{19}|[\[{])"
+_NEEDS_EXACT = r":\s*(-?[0-9]+[.eE]|-?[0-9]{19}|-0|[\[{])"
+
+# A JSON token: a string, a number or a run of anything else.
+_TOKEN = r'"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'
 
 
 def attr_sql(text: str, key: str) -> str:
@@ -30,47 +32,42 @@ def lenient_int_sql(text: str) -> str:
     )
 
 
-def _variant_text(v: str, depth: int) -> str:
-    """Canonical JSON text of a VARIANT: sorted keys, no blanks, shortest numbers."""
-    kind, text, scalar_var = f"vt{depth}.kind", f"vt{depth}.text", f"vt{depth}"
-    # A whole number beyond BIGINT stays an integer up to 64 unsigned bits.
-    is_u64 = (
-        f"startswith({kind}, 'DECIMAL') AND {text} RLIKE '^[0-9]{{19,20}}$'"
-        f" AND try_cast({text} AS {_U64}) > 9223372036854775807"
-        f" AND try_cast({text} AS {_U64}) < CAST('18446744073709551616' AS {_U64})"
+def _tag_numbers(text: str) -> str:
+    """JSON text with every number that needs care turned into a marked string.
+
+    Floats, and integers beyond 64 bits, become ``"\u0001n<canonical text>"`` so
+    that they pass through VARIANT untouched; a string that itself starts with
+    the mark gets ``\u0001s`` in front. The text is split into tokens, so depth
+    does not matter.
+    """
+    beyond_u64 = (
+        "(length(tk) >= 19 AND tk RLIKE r'^-?[0-9]+$' AND try_cast(tk AS BIGINT) IS NULL"
+        f" AND NOT coalesce(try_cast(tk AS {_U64}) BETWEEN 0 AND"
+        f" CAST('18446744073709551615' AS {_U64}), false))"
+    )
+    number = let("tn", "CAST(tk AS DOUBLE)", json_f64_sql("tn"))
+    return rf"""
+        array_join(transform(regexp_extract_all({text}, r'{_TOKEN}', 0), tk -> CASE
+          WHEN startswith(tk, '"') THEN CASE WHEN startswith(tk, r'"\u0001')
+            THEN concat(r'"\u0001s', substring(tk, 2)) ELSE tk END
+          WHEN tk = '-0' OR tk RLIKE r'^-?[0-9]+[.eE]' OR {beyond_u64}
+            THEN concat(r'"\u0001n', {number}, '"')
+          ELSE tk END), '')
+    """
+
+
+def _untagged_text(v: str) -> str:
+    """JSON text of a tagged VARIANT: sorted keys, no blanks, marks removed."""
+    numbers = rf"""regexp_replace(to_json({v}), r'"\\u0001n([^"]*)"', r'$1')"""
+    strings = rf"""regexp_replace({numbers}, r'"\\u0001s', '"')"""
+    # Control characters print with lower-case hex digits.
+    hex_pairs = ", ".join(f"'{code:02X}'" for code in range(32) if f"{code:02X}" != f"{code:02x}")
+    lowered = (
+        rf"reduce(array({hex_pairs}), {strings}, (ht, hx) -> regexp_replace(ht,"
+        rf" concat(r'(?<!\\)((?:\\\\)*)\\u00', hx), concat(r'$1\\u00', lower(hx))))"
     )
-    if depth > 0:
-        vp, ve = f"vp{depth}", f"ve{depth}"
-        entries = (
-            f"coalesce(transform(try_variant_get({v}, '$', 'array<variant>'),"
-            f" vi -> named_struct('key', '', 'value', vi)),"
-            f" map_entries(try_variant_get({v}, '$', 'map<string,variant>')))"
-        )
-        parts = (
-            f"transform({entries}, {ve} -> named_struct('k', {ve}.key,"
-            f" 'v', {_variant_text(f'{ve}.value', depth - 1)}))"
-        )
-        member = f"concat({json_str_sql('vm.k')}, ':', vm.v)"
-        nested = let(
-            vp,
-            parts,
-            f"CASE WHEN startswith({kind}, 'ARRAY')"
-            f" THEN concat('[', array_join(transform({vp}, vx -> vx.v), ','), ']')"
-            f" ELSE concat('{{', array_join(transform(array_sort({vp}), vm -> {member}), ','),"
-            f" '}}') END",
-        )
-    else:
-        nested = "CAST(raise_error('label value nested too deeply') AS STRING)"
-    return let(
-        scalar_var,
-        f"named_struct('kind', coalesce(schema_of_variant({v}), 'VOID'),"
-        f" 'text', try_variant_get({v}, '$', 'string'))",
-        f"CASE WHEN {kind} = 'VOID' THEN 'null'"
-        f" WHEN {kind} = 'STRING' THEN {json_str_sql(text)}"
-        f" WHEN {kind} IN ('BIGINT', 'BOOLEAN') THEN {text}"
-        f" WHEN {kind} RLIKE '^(ARRAY|OBJECT)' THEN {nested}"
-        f" WHEN {is_u64} THEN {text}"
-        f" ELSE {let('vd', f'CAST({text} AS DOUBLE)', json_f64_sql('vd'))} END",
+    return (
+        rf"CASE WHEN contains(to_json({v}), r'\u00') THEN {lowered} ELSE to_json({v}) END"
     )
 
 
@@ -89,12 +86,15 @@ def parse_labels_sql(text: str) -> str:
     as they are, other values as their JSON text.
     """
     plain = _entries(text, "string", "coalesce(pe.value, 'null')")
+    text_value = "try_variant_get(pe.value, '$', 'string')"
     exact = _entries(
-        text,
+        _tag_numbers(text),
         "variant",
-        "CASE WHEN schema_of_variant(pe.value) = 'STRING'"
-        " THEN try_variant_get(pe.value, '$', 'string')"
-        f" ELSE {_variant_text('pe.value', _VARIANT_DEPTH)} END",
+        "CASE WHEN pe.value IS NULL OR is_variant_null(pe.value) THEN 'null'"
+        " WHEN schema_of_variant(pe.value) <> 'STRING'"
+        f" THEN {_untagged_text('pe.value')}"
+        f" WHEN startswith({text_value}, '\x01') THEN substring({text_value}, 3)"
+        f" ELSE {text_value} END",
     )
     entries = f"CASE WHEN {text} RLIKE r'{_NEEDS_EXACT}' THEN {exact} ELSE {plain} END"
     unique = last_per_key(f"array_sort({entries})", "raw")

@@ -19,11 +19,11 @@ def _shortest_text(x: str) -> str:
     The JVM's text can carry a superfluous digit or two; fewer digits are tried
     first and kept when they denote the same double.
     """
-    attempts = []
-    for digits in (1, 15, 16, 17):
-        text = f"format_string('%.{digits - 1}e', {x})"
-        attempts.append(f"CASE WHEN CAST({text} AS DOUBLE) = {x} THEN upper({text}) END")
-    return f"coalesce({', '.join(attempts)}, CAST({x} AS STRING))"
+    attempts = (
+        f"transform(array('%.0e', '%.14e', '%.15e', '%.16e'), sf -> format_string(sf, {x}))"
+    )
+    same = f"get(filter({attempts}, st -> CAST(st AS DOUBLE) = {x}), 0)"
+    return f"coalesce(upper({same}), CAST({x} AS STRING))"
 
 
 def _decompose(x: str) -> str:

@@ -7,7 +7,7 @@ from .binding import last_per_key, let
 from .numbers import json_f64_sql
 from .text import json_str_sql
 
-DEFAULT_DEPTH = 6
+DEFAULT_DEPTH = 3
 _VALUE_TYPE = ANY_VALUE.simpleString()
 _ENTRY_TYPE = KEY_VALUE.simpleString()
 

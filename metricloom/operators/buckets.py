@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import calendar
 import re
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,30 +14,33 @@ ATTRIBUTES = ["object_name", "sai_type_id", "sai_stat_id"]
 
 # The date texts understood as bounds; any other text is no bound.
 _DATE_TEXT = re.compile(
-    r"\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s*(?P<zone>Z|[+-]\d{2}:\d{2})?)?"
+    r"(\d{4})-(\d{2})-(\d{2})"
+    r"(?:[ T](\d{2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*(?:Z|([+-])(\d{2}):(\d{2}))?)?"
 )
+_SECOND = 1_000_000_000
 
 
-def epoch_seconds(text: str) -> Column:
-    """Whole epoch seconds of a date text, UTC unless it names an offset; else NULL."""
+def epoch_seconds(text: str) -> int | None:
+    """Whole epoch seconds of a date text, UTC unless it names an offset; else None."""
     match = _DATE_TEXT.fullmatch(text.strip())
     if not match:
-        return F.lit(None).cast("bigint")
-    if match["zone"]:
-        return F.unix_timestamp(F.lit(text.strip()).try_cast("timestamp"))
-    return F.expr(
-        "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00',"
-        f" try_cast('{text.strip()}' AS TIMESTAMP_NTZ))"
+        return None
+    sign, (year, month, day, hour, minute, second, off_hour, off_minute) = match[7], (
+        int(g or 0) for g in (*match.groups()[:6], *match.groups()[7:])
     )
+    in_range = 1 <= month <= 12 and 1 <= day <= 31 and hour <= 24 and minute < 60 and second < 60
+    if not in_range or year == 0:
+        return None
+    offset = (off_hour * 3600 + off_minute * 60) * (-1 if sign == "-" else 1)
+    return calendar.timegm((year, month, day, hour, minute, second)) - offset
 
 
-def _bound(points: DataFrame, given: int | str | None, extreme) -> Column:
-    if isinstance(given, int):
-        return F.lit(given)
-    of_data = points.agg(extreme("timestamp_ns")).scalar()
-    if not given:
-        return of_data
-    return F.coalesce(epoch_seconds(given) * 1_000_000_000, of_data)
+def _given(bound: int | str | None) -> int | None:
+    """A bound in nanoseconds; None when it is empty or unusable text."""
+    if not isinstance(bound, str):
+        return bound
+    seconds = epoch_seconds(bound)
+    return None if seconds is None else seconds * _SECOND
 
 
 def time_bounds(
@@ -45,18 +49,27 @@ def time_bounds(
     """(t_start, t_end) in nanoseconds, as columns usable in filters and projections.
 
     A bound is nanoseconds, a date text, or empty for the extreme of the data;
-    unusable text counts as empty. Data extremes are scalar subqueries, merged
-    by the optimizer into one scan of one column; a usable text folds to a
-    literal and needs no scan.
+    unusable text counts as empty. Given bounds are literals. Both extremes come
+    from one scalar subquery over one column, shared by every use.
     """
-    return _bound(points, start, F.min), _bound(points, end, F.max)
+    t_start, t_end = _given(start), _given(end)
+    if t_start is not None and t_end is not None:
+        return F.lit(t_start), F.lit(t_end)
+    extremes = points.agg(
+        F.struct(F.min("timestamp_ns").alias("lo"), F.max("timestamp_ns").alias("hi"))
+    ).scalar()
+    return (
+        extremes["lo"] if t_start is None else F.lit(t_start),
+        extremes["hi"] if t_end is None else F.lit(t_end),
+    )
 
 
 def bucket_width(t_start: Column, t_end: Column, max_points: int) -> Column:
     """Nanoseconds per bucket so that the span has about ``max_points`` buckets."""
+    one = F.lit(1).cast("bigint")
     if max_points <= 0:
-        return F.lit(1).cast("bigint")
-    return F.greatest(F.lit(1).cast("bigint"), F.call_function("div", t_end - t_start, F.lit(max_points)))
+        return one
+    return F.greatest(one, F.call_function("div", t_end - t_start, F.lit(max_points)))
 
 
 def _mentions(values: list[str]) -> Column | None:
@@ -95,9 +108,11 @@ def bucket_avg(
     the second aggregation shuffles the few partial sums. With 1 ns buckets the
     first step would not reduce anything and is left out.
     """
-    t_start, t_end = time_bounds(points, start, end)
-    width = bucket_width(t_start, t_end, max_points)
-    rows = time_range(points, t_start, t_end)
+    # An extreme of the data filters nothing out, so only given bounds are tested.
+    rows = time_range(points, _given(start), _given(end))
+    width = F.lit(1).cast("bigint")
+    if max_points > 0:
+        width = bucket_width(*time_bounds(points, start, end), max_points)
     for wanted in (objects, types, stats):
         prefilter = _mentions(wanted) if wanted else None
         rows = rows if prefilter is None else rows.where(prefilter)

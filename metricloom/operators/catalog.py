@@ -37,15 +37,20 @@ def metric_types(points: DataFrame) -> DataFrame:
     return points.select("metric_type").distinct().orderBy("metric_type")
 
 
-def _distinct_texts(points: DataFrame) -> DataFrame:
-    # Attributes are read from the distinct texts, not from every row.
-    return points.select("dp_attrs").distinct()
+def distinct_texts(points: DataFrame) -> DataFrame:
+    """Each attribute text once, so that JSON is read per text and not per row.
+
+    A plain distinct below another distinct is dropped by the optimizer, which
+    would put the JSON parsing back on every row; testing the count keeps it.
+    """
+    texts = points.groupBy("dp_attrs").agg(F.count("*").alias("rows"))
+    return texts.where("rows > 0").select("dp_attrs")
 
 
 def var_objects(points: DataFrame) -> DataFrame:
     """Object names; rows without one give a NULL entry."""
     return (
-        _distinct_texts(points)
+        distinct_texts(points)
         .select(attr("dp_attrs", "object_name").alias("text"))
         .distinct()
         .orderBy("text")
@@ -54,7 +59,7 @@ def var_objects(points: DataFrame) -> DataFrame:
 
 def var_types(points: DataFrame) -> DataFrame:
     """(value, text): raw type ids and their display text, in numeric order."""
-    ids = _distinct_texts(points).select(attr("dp_attrs", "sai_type_id").alias("value")).distinct()
+    ids = distinct_texts(points).select(attr("dp_attrs", "sai_type_id").alias("value")).distinct()
     number = lenient_int("value")
     text = F.concat(F.lit("Type"), F.col("value"))
     for type_id, name in _TYPE_TEXT.items():
@@ -65,7 +70,7 @@ def var_types(points: DataFrame) -> DataFrame:
 def var_stats(points: DataFrame, stats: DataFrame) -> DataFrame:
     """(value, text): stat ids with ``Name (id)``, one row per type that uses the id."""
     used = (
-        _distinct_texts(points)
+        distinct_texts(points)
         .select(
             lenient_int(attr_sql("dp_attrs", "sai_stat_id")).alias("stat_id"),
             lenient_int(attr_sql("dp_attrs", "sai_type_id")).alias("type_id"),

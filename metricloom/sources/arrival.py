@@ -14,8 +14,10 @@ _BROADCAST_SPLITS = 200_000
 
 
 @contextmanager
-def arrival_ids(points: DataFrame, base: int = 0) -> Iterator[DataFrame]:
-    """``points`` with ``id`` base+1, base+2, ... in arrival order, for use inside ``with``.
+def arrival_ids(points: DataFrame, base: int = 0) -> Iterator[tuple[DataFrame, int]]:
+    """``points`` with ``id`` base+1, base+2, ... in arrival order, and their number.
+
+    For use inside ``with``, which releases the kept rows at the end.
 
     Arrival order is file time, file name, position in the file when ``points``
     carries SPLIT_COLUMNS, else the order of the partitions. The rows are kept
@@ -44,11 +46,12 @@ def arrival_ids(points: DataFrame, base: int = 0) -> Iterator[DataFrame]:
         starts = spark.createDataFrame(rows, f"{schema}, _shift bigint")
         if len(rows) <= _BROADCAST_SPLITS:
             starts = F.broadcast(starts)
-        yield (
+        with_ids = (
             numbered.join(starts, key)
             .withColumn("id", F.col("_seq") + F.col("_shift"))
             .drop("_seq", "_shift", *key)
         )
+        yield with_ids, start - base
     finally:
         numbered.unpersist()
 

@@ -4,30 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.numbers import json_f64_sql
-from ..functions.text import json_str_sql
 from ..schema import POINT_SCHEMA
 
 
-def _member(field: T.StructField) -> str:
-    c = f"`{field.name}`"
-    if isinstance(field.dataType, T.StringType):
-        value = json_str_sql(c)
-    elif isinstance(field.dataType, T.DoubleType):
-        value = json_f64_sql(c)
-    else:
-        value = f"CAST({c} AS STRING)"
-    return f"concat('\"{field.name}\":', coalesce({value}, 'null'))"
+def jsonl_rows(points: DataFrame) -> DataFrame:
+    """The fields of a line, in order. JSON has no NaN or infinity: those are null."""
 
+    def finite(name: str):
+        c = F.col(name)
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c).alias(name)
 
-def jsonl_lines(points: DataFrame) -> DataFrame:
-    """One ``value`` text per point, fields in schema order."""
-    members = ", ".join(_member(f) for f in POINT_SCHEMA.fields)
-    return points.select(F.expr(f"concat('{{', concat_ws(',', {members}), '}}')").alias("value"))
+    return points.select(
+        *[
+            finite(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+            for f in POINT_SCHEMA.fields
+        ]
+    )
 
 
 def write_jsonl(points: DataFrame, path: str, mode: str = "append") -> None:
-    jsonl_lines(points).write.mode(mode).text(path)
+    jsonl_rows(points).write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:

@@ -47,7 +47,7 @@ def append_points(points: DataFrame, path: str) -> None:
     if "id" in points.columns:
         conform(points).write.mode("append").parquet(path)
         return
-    with arrival_ids(points, max_id(points.sparkSession, path)) as numbered:
+    with arrival_ids(points, max_id(points.sparkSession, path)) as (numbered, _):
         conform(numbered).write.mode("append").parquet(path)
 
 

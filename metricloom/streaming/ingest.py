@@ -6,7 +6,6 @@ import hashlib
 import logging
 import threading
 from collections.abc import Callable
-from contextlib import nullcontext
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -118,22 +117,19 @@ class Ingest:
             return
         if "id" in batch.columns:
             kept = batch.persist()
-            numbering = nullcontext(kept)
-        else:
-            kept = None
-            numbering = arrival_ids(batch, self._first_id + (batch_id << BATCH_ID_BITS))
-        try:
-            with numbering as numbered:
-                self._write_sinks(conform(numbered), batch_id)
-        finally:
-            if kept is not None:
+            try:
+                self._write_sinks(conform(kept), kept.count(), batch_id)
+            finally:
                 kept.unpersist()
+        else:
+            base = self._first_id + (batch_id << BATCH_ID_BITS)
+            with arrival_ids(batch, base) as (numbered, rows):
+                self._write_sinks(conform(numbered), rows, batch_id)
         if self.max_rows and self.total >= self.max_rows:
             log.info("%d rows reached the cap of %d", self.total, self.max_rows)
             self.full.set()
 
-    def _write_sinks(self, points: DataFrame, batch_id: int) -> None:
-        rows = points.count()
+    def _write_sinks(self, points: DataFrame, rows: int, batch_id: int) -> None:
         if rows == 0:
             return
         if rows >> BATCH_ID_BITS:
