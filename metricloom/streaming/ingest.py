@@ -144,7 +144,7 @@ class Ingest:
         if self.jsonl:
             try:
                 write_jsonl(points, self._folder(self.jsonl, batch_id), mode="overwrite")
-            except PySparkException:
+            except Exception:
                 log.exception("JSON lines of batch %d not written", batch_id)
         self.total += rows
 
