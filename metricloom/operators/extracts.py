@@ -11,19 +11,25 @@ _TOP_K = 1 << 20
 _BLOCK = 1 << 20
 
 
+def _time_order(points: DataFrame) -> list[str]:
+    """Time, then arrival: a total order, and one that splits an instant with many rows."""
+    return [c for c in ("timestamp_ns", "id") if c in points.columns]
+
+
 def time_series(
     points: DataFrame, name: str, t0: int | None = None, t1: int | None = None
 ) -> DataFrame:
     """(time in whole seconds, value) of one metric's double values, in time order."""
     rows = time_range(metric(points, name), t0, t1)
-    return rows.orderBy("timestamp_ns").selectExpr(
+    return rows.orderBy(*_time_order(rows)).selectExpr(
         "timestamp_ns div 1000000000 AS time", "value_double AS value"
     )
 
 
 def time_series_float(points: DataFrame, name: str) -> DataFrame:
     """(time in seconds with fraction, value) of one metric's integer values, in time order."""
-    return metric(points, name).orderBy("timestamp_ns").selectExpr(
+    rows = metric(points, name)
+    return rows.orderBy(*_time_order(rows)).selectExpr(
         "CAST(timestamp_ns AS DOUBLE) / 1e9D AS time", "value_int AS value"
     )
 
@@ -33,7 +39,7 @@ def histogram_rows(
 ) -> DataFrame:
     """(time, hist_bounds, hist_counts) of one histogram metric, in time order."""
     rows = time_range(metric(points, name, "histogram"), t0, t1)
-    return rows.orderBy("timestamp_ns").selectExpr(
+    return rows.orderBy(*_time_order(rows)).selectExpr(
         "timestamp_ns div 1000000000 AS time", "hist_bounds", "hist_counts"
     )
 
@@ -64,7 +70,8 @@ def tail(points: DataFrame, n: int) -> DataFrame:
 
 def first_point(points: DataFrame, name: str) -> DataFrame:
     """The earliest row of a metric."""
-    return metric(points, name).orderBy("timestamp_ns").limit(1)
+    rows = metric(points, name)
+    return rows.orderBy(*_time_order(rows)).limit(1)
 
 
 def cap_rows(points: DataFrame, max_rows: int, batch_size: int = 1) -> DataFrame:

@@ -29,8 +29,8 @@ def dashboard(averages: DataFrame, types: DataFrame, stats: DataFrame) -> DataFr
     """(time, value, series) of a bucket average, ordered for charting."""
     return (
         label_series(averages, types, stats)
+        .orderBy("time", "series", "bucket")
         .select("time", "value", "series")
-        .orderBy("time", "series")
     )
 
 

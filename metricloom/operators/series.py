@@ -19,6 +19,7 @@ from ..functions.binding import quote
 from ..functions.numbers import fmt_f64_sql, json_f64_sql
 from ..functions.text import sanitize_metric_sql
 from ..schema import METRIC_TYPES
+from ..sources.scratch import written
 from .samples import SERIES, raw_samples
 
 _TYPE_LIST = "array(" + ", ".join(quote(t) for t in METRIC_TYPES) + ")"
@@ -132,8 +133,8 @@ def latest_per_series(points: DataFrame, name: str | None = None) -> DataFrame:
 # --- retained history --------------------------------------------------------
 
 
-def _min_over_series(per_attrs: DataFrame, column: str, how) -> DataFrame:
-    """Spread a per-text value to the series level and back to each text.
+def _spread_over_series(per_attrs: DataFrame, column: str, how) -> DataFrame:
+    """Reduce a per-text value to its series and give it back to each text.
 
     ``per_attrs`` is one row per (name, text), so both sides are small; an
     aggregate and a join are used rather than a window so that many texts with
@@ -144,6 +145,26 @@ def _min_over_series(per_attrs: DataFrame, column: str, how) -> DataFrame:
     return labelled.drop(column).join(per_series, SERIES)
 
 
+def _first_kept(
+    raw: DataFrame, retention: float | None, cutoff: float | None, arrival: str | None
+) -> DataFrame:
+    """(series_name, attrs, labels, first_kept) of the texts whose series keep samples."""
+    key = ["series_name", "attrs"]
+    if arrival:
+        last_seen = raw.groupBy(*key).agg(F.max(arrival).alias("seen"))
+        cutoffs = _spread_over_series(last_seen, "seen", F.max).select(
+            *key, (F.col("seen") - F.lit(retention)).alias("cutoff")
+        )
+        raw = raw.join(written(cutoffs), key)
+        is_fresh = F.col("timestamp") >= F.col("cutoff")
+    else:
+        is_fresh = F.col("timestamp") >= F.lit(cutoff)
+    # A text without a fresh sample of its own may belong to a series that has
+    # one, so every text stays in, with NULL.
+    per_attrs = raw.groupBy(*key).agg(F.min(F.when(is_fresh, F.col("id"))).alias("first_kept"))
+    return _spread_over_series(per_attrs, "first_kept", F.min).where("first_kept IS NOT NULL")
+
+
 def series_history(
     points: DataFrame,
     retention: float | timedelta | None = None,
@@ -151,6 +172,7 @@ def series_history(
     cutoff: float | None = None,
     arrival: str | None = None,
     name: str | None = None,
+    labels: dict[str, str] | None = None,
 ) -> DataFrame:
     """Samples a store with bounded retention would still hold.
 
@@ -158,44 +180,39 @@ def series_history(
     the cutoff: everything from the first sample at or after the cutoff is kept,
     late old samples included. The cutoff is ``cutoff`` seconds, or ``as_of``
     (default: now) minus ``retention``, or, with an ``arrival`` column of epoch
-    seconds, each series' own last arrival minus ``retention``.
+    seconds, each series' own last arrival minus ``retention``. ``name`` and
+    ``labels`` select series.
 
     Two passes over the points: the per-series first kept id (a hash aggregation
-    with map-side combine, so one hot series is no hot task), then a join that
-    keeps ids from there on. No per-series sort and no collected lists. With
-    ``arrival`` one more aggregation finds the cutoffs.
+    with map-side combine, so one hot series is no hot task), written as a small
+    scratch table, then a join that keeps ids from there on. No per-series sort
+    and no collected lists. With ``arrival`` one more aggregation finds the
+    cutoffs.
     """
+    return _history(points, retention, as_of, cutoff, arrival, name, labels)
+
+
+def _history(points, retention, as_of, cutoff, arrival, name, labels, *described: Column):
+    """``series_history`` with further columns computed once per text."""
     if isinstance(retention, timedelta):
         retention = retention.total_seconds()
-    points = _narrow_points(points, name)
-    raw = raw_samples(points, keep=[arrival] if arrival else None)
-    key = ["series_name", "attrs"]
-    if arrival:
-        if retention is None:
-            raise ValueError("arrival needs retention")
-        last_seen = raw.groupBy(*key).agg(F.max(arrival).alias("seen"))
-        cutoffs = _min_over_series(last_seen, "seen", F.max).select(
-            *key, (F.col("seen") - F.lit(float(retention))).alias("cutoff")
-        )
-        raw_with_cutoff = raw.join(cutoffs, key)
-        is_fresh = F.col("timestamp") >= F.col("cutoff")
-    else:
-        if cutoff is None:
-            if retention is None:
-                raise ValueError("give retention or cutoff")
-            cutoff = (time.time() if as_of is None else as_of) - retention
-        raw_with_cutoff = raw
-        is_fresh = F.col("timestamp") >= F.lit(float(cutoff))
-    # A text without a fresh sample of its own may belong to a series that has
-    # one, so every text stays in, with NULL.
-    per_attrs = raw_with_cutoff.groupBy(*key).agg(
-        F.min(F.when(is_fresh, F.col("id"))).alias("first_kept")
+    if retention is None and (arrival or cutoff is None):
+        raise ValueError("give retention or cutoff")
+    if cutoff is None and not arrival:
+        cutoff = (time.time() if as_of is None else as_of) - retention
+    raw = raw_samples(_narrow_points(points, name), keep=[arrival] if arrival else None)
+    kept = _first_kept(
+        raw,
+        None if retention is None else float(retention),
+        None if cutoff is None else float(cutoff),
+        arrival,
     )
-    kept = _min_over_series(per_attrs, "first_kept", F.min).where("first_kept IS NOT NULL")
+    kept = written(select_series(kept, name, labels).select("*", *described))
+    extra = [c for c in kept.columns if c not in ("series_name", "attrs", "labels", "first_kept")]
     return (
-        raw.join(kept, key)
+        raw.join(kept, ["series_name", "attrs"])
         .where("id >= first_kept")
-        .select("id", *SERIES, "timestamp", "value", "metric_type")
+        .select("id", *SERIES, "timestamp", "value", "metric_type", *extra)
     )
 
 
@@ -263,18 +280,18 @@ def exposition(points: DataFrame) -> DataFrame:
     return headers.union(lines).orderBy("series_name", "part", "labels").select("line")
 
 
-def _result_columns(df: DataFrame) -> DataFrame:
-    named = df.withColumn("name", sanitize_metric("series_name"))
+def _described() -> list[Column]:
+    """Columns of a result that depend on the series alone."""
+    return [
+        sanitize_metric("series_name").alias("name"),
+        metric_map_json(sanitize_metric_sql("series_name"), "labels").alias("metric"),
+    ]
+
+
+def _result(df: DataFrame, *leading: str) -> DataFrame:
     pair = f"concat('[', {json_f64_sql('timestamp')}, ',\"', {fmt_f64_sql('value')}, '\"]')"
-    return named.select(
-        *[c for c in ("id",) if c in df.columns],
-        "name",
-        "series_name",
-        "labels",
-        "timestamp",
-        "value",
-        metric_map_json("name", "labels").alias("metric"),
-        F.expr(pair).alias("point"),
+    return df.select(
+        *leading, "name", *SERIES, "timestamp", "value", "metric", F.expr(pair).alias("point")
     )
 
 
@@ -286,7 +303,8 @@ def instant(
     Besides the plain columns, ``metric`` is the JSON label map and ``point``
     the JSON pair ``[seconds,"value"]``.
     """
-    return _result_columns(select_series(latest_per_series(points, name), name, labels))
+    latest = select_series(latest_per_series(points, name), name, labels)
+    return _result(latest.select("*", *_described()))
 
 
 def range_(
@@ -296,20 +314,24 @@ def range_(
     start: float = 0.0,
     end: float | None = None,
     step: float = 15.0,
-    **history,
+    retention: float | timedelta | None = None,
+    as_of: float | None = None,
+    cutoff: float | None = None,
+    arrival: str | None = None,
 ) -> DataFrame:
     """Samples of each selected series between ``start`` and ``end`` inclusive.
 
-    ``history`` are the options of ``series_history``; without them only the
-    latest sample is known and it is given whatever the range. ``step`` is
-    accepted and ignored: samples are returned as stored. Rows are long, one per
-    sample with its arrival ``id``, so no series is ever gathered into one row.
+    With ``retention`` or ``cutoff`` (see ``series_history``) the retained
+    history is searched; without, only the latest sample is known and it is
+    given whatever the range. ``step`` is accepted and ignored: samples are
+    returned as stored. Rows are long, one per sample with its arrival ``id``,
+    so no series is ever gathered into one row.
     """
-    if not history:
+    if retention is None and cutoff is None:
         return instant(points, name, labels)
     end = time.time() if end is None else end
-    kept = select_series(series_history(points, name=name, **history), name, labels)
-    return _result_columns(kept.where(F.col("timestamp").between(start, end)))
+    kept = _history(points, retention, as_of, cutoff, arrival, name, labels, *_described())
+    return _result(kept.where(F.col("timestamp").between(start, end)), "id")
 
 
 def envelope(result: DataFrame, result_type: str) -> DataFrame:

@@ -387,13 +387,13 @@ SELECTION = {"name": "app.view", "labels": {"host_name": "node-1"}}
 RANGE = (1_704_500_000.0, 1_705_500_000.0)
 
 
-def _result(df: DataFrame) -> DataFrame:
+def _named_result(df: DataFrame) -> DataFrame:
     return _with_label_text(df.drop("series_name"))
 
 
 @_register(RESULT_SQL.format(id="", source="latest", more=""), POINTS, SAMPLES, LATEST)
 def series_instant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result(series.instant(points(spark, sf_dir), **SELECTION))
+    return _named_result(series.instant(points(spark, sf_dir), **SELECTION))
 
 
 @_register(
@@ -406,12 +406,12 @@ def series_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = series.range_(
         points(spark, sf_dir), **SELECTION, start=RANGE[0], end=RANGE[1], cutoff=CUTOFF
     )
-    return _result(rows)
+    return _named_result(rows)
 
 
 @_register(RESULT_SQL.format(id="", source="latest", more=""), POINTS, SAMPLES, LATEST)
 def series_range_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _result(series.range_(points(spark, sf_dir), **SELECTION, start=0.0, end=1.0))
+    return _named_result(series.range_(points(spark, sf_dir), **SELECTION, start=0.0, end=1.0))
 
 
 @_register(

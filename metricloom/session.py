@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Small written side tables (see sources.scratch) and dimensions up to this size.
+    "spark.sql.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.parquet.filterPushdown.stringPredicate": "true",
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

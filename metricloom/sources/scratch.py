@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -20,3 +20,17 @@ def scratch_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         shared = tempfile.mkdtemp(prefix="metricloom-")
     return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once into a scratch table and read back.
+
+    Cuts the lineage on storage that outlives executors. The read-back also has
+    an exact size, so a following join is broadcast when the table is under
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffled when it is not; the
+    estimate for an aggregate would always say "too large" and shuffle both
+    sides.
+    """
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
