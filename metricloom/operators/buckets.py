@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lenient_int
-from .filters import time_range
+from .filters import above, mentions, time_range
 
 ATTRIBUTES = ["object_name", "sai_type_id", "sai_stat_id"]
 
@@ -72,22 +72,6 @@ def bucket_width(t_start: Column, t_end: Column, max_points: int) -> Column:
     return F.greatest(one, F.call_function("div", t_end - t_start, F.lit(max_points)))
 
 
-def _mentions(values: list[str]) -> Column | None:
-    """A test on raw attribute text that every row with one of ``values`` passes.
-
-    Without a backslash in the text a JSON string appears verbatim in it, so
-    ``contains`` is a necessary condition, cheap and usable on dictionary pages.
-    Values that look numeric are not tested: a number may be spelled differently.
-    """
-    if not values or any(re.match(r"\s*[-+]?[0-9.]", v) or '"' in v for v in values):
-        return None
-    tests = [F.col("dp_attrs").contains(v) for v in [*values, "\\"]]
-    condition = tests[0]
-    for test in tests[1:]:
-        condition = condition | test
-    return condition
-
-
 def bucket_avg(
     points: DataFrame,
     max_points: int = 1000,
@@ -114,7 +98,7 @@ def bucket_avg(
     if max_points > 0:
         width = bucket_width(*time_bounds(points, start, end), max_points)
     for wanted in (objects, types, stats):
-        prefilter = _mentions(wanted) if wanted else None
+        prefilter = mentions("dp_attrs", wanted or [])
         rows = rows if prefilter is None else rows.where(prefilter)
     bucket = (
         F.col("timestamp_ns")
@@ -137,7 +121,7 @@ def bucket_avg(
     keyed = partial.select("bucket", "total", "n", F.from_json("dp_attrs", fields).alias("a"))
     for key, wanted in zip(ATTRIBUTES, (objects, types, stats)):
         if wanted is not None:
-            keyed = keyed.where(F.col(f"a.{key}").isin(wanted))
+            keyed = keyed.where(above(F.col("n") >= 0, F.col(f"a.{key}").isin(wanted)))
     grouped = (
         keyed.select(
             "bucket",

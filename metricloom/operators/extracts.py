@@ -8,7 +8,7 @@ from .filters import metric, time_range
 
 # Above this many rows a sorted limit would hold too much in each task.
 _TOP_K = 1 << 20
-_BLOCK = 1 << 20
+_BLOCK_BITS = 20
 
 
 def _time_order(points: DataFrame) -> list[str]:
@@ -92,7 +92,7 @@ def _first_arrivals(points: DataFrame, n: int) -> DataFrame:
     plain comparison that reaches the scan, and only the block that holds the
     n-th row is ranked. Ids are unique, so a block never exceeds its width.
     """
-    block = F.expr(f"floor(id / {_BLOCK})")
+    block = F.shiftright("id", _BLOCK_BITS)
     counts = points.groupBy(block.alias("block")).agg(F.count("*").alias("rows"))
     # One row per million ids, a pre-aggregated summary.
     running = counts.select(
@@ -103,12 +103,12 @@ def _first_arrivals(points: DataFrame, n: int) -> DataFrame:
         (F.lit(n) - F.min_by(F.col("upto") - F.col("rows"), "block")).alias("remaining"),
     )
     edge_start = F.coalesce(
-        edge.select(F.col("block") * _BLOCK).scalar(), F.lit(2**63 - 1)
+        edge.select(F.shiftleft("block", _BLOCK_BITS)).scalar(), F.lit(2**63 - 1)
     )
     whole = points.where(F.col("id") < edge_start)
     rank = F.row_number().over(Window.orderBy("id"))
     partial = (
-        points.where((F.col("id") >= edge_start) & (F.col("id") < edge_start + _BLOCK))
+        points.where((F.col("id") >= edge_start) & (block == edge.select("block").scalar()))
         .withColumn("_rank", rank)
         .where(F.col("_rank") <= edge.select("remaining").scalar())
         .drop("_rank")

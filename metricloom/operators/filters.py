@@ -2,11 +2,40 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import attr
 
 
+def mentions(text: str, values: list[str]) -> Column | None:
+    """A cheap test that every attribute text holding one of ``values`` passes.
+
+    Without a backslash in the text a JSON string appears verbatim in it, so
+    ``contains`` is a necessary condition; it needs no JSON parsing and works on
+    dictionary pages. None when a value may be spelled differently in the text:
+    numbers, nested JSON, quotes and control characters.
+    """
+    if not values or any(re.match(r"\s*[-+0-9.\[{]|$", v) or re.search(r'["\x00-\x1f]', v) for v in values):
+        return None
+    condition = F.col(text).contains("\\")
+    for value in values:
+        condition = condition | F.col(text).contains(value)
+    return condition
+
+
+def above(always: Column, condition: Column) -> Column:
+    """``condition``, tied to an aggregation by a test of its output that always holds.
+
+    A condition on a grouping column alone would be pushed below the
+    aggregation, and the JSON parsing in it with it, onto every row. The
+    optimizer must not see that ``always`` holds: test a count for being
+    positive, not for being there.
+    """
+    return F.when(always, condition)
+
+
 def time_range(
     points: DataFrame, t0: int | Column | None = None, t1: int | Column | None = None
 ) -> DataFrame:
@@ -20,7 +49,12 @@ def time_range(
 
 def attr_in(points: DataFrame, key: str, values: list[str] | None) -> DataFrame:
     """Attribute ``key`` is one of ``values``; None means every row."""
-    return points if values is None else points.where(attr("dp_attrs", key).isin(values))
+    if values is None:
+        return points
+    prefilter = mentions("dp_attrs", values)
+    if prefilter is not None:
+        points = points.where(prefilter)
+    return points.where(attr("dp_attrs", key).isin(values))
 
 
 def metric(points: DataFrame, name: str, metric_type: str | None = None) -> DataFrame:

@@ -20,6 +20,7 @@ from ..functions.numbers import fmt_f64_sql, json_f64_sql
 from ..functions.text import sanitize_metric_sql
 from ..schema import METRIC_TYPES
 from ..sources.scratch import written
+from .filters import above, mentions
 from .samples import SERIES, raw_samples
 
 _TYPE_LIST = "array(" + ", ".join(quote(t) for t in METRIC_TYPES) + ")"
@@ -32,13 +33,27 @@ def _sanitized(name: str) -> str:
     return re.sub(r"[^A-Za-z0-9_:]", "_", name)
 
 
+def _has_label(key: str, value: str) -> Column:
+    return F.expr(f"exists(labels, l -> l.k = {quote(key)} AND l.v = {quote(value)})")
+
+
 def match_labels(df: DataFrame, labels: dict[str, str]) -> DataFrame:
     """Keep rows whose label list holds every given pair."""
     for key, value in labels.items():
-        df = df.where(F.expr(f"exists(labels, l -> l.k = {quote(key)} AND l.v = {quote(value)})"))
+        df = df.where(_has_label(key, value))
     return df
 
 
+def _with_labels(
+    per_attrs: DataFrame, always: str, labels: dict[str, str] | None
+) -> DataFrame:
+    """Parse the labels of aggregated texts and keep those that match."""
+    labelled = per_attrs.select("*", parse_labels("attrs").alias("labels"))
+    for key, value in (labels or {}).items():
+        labelled = labelled.where(above(F.expr(always), _has_label(key, value)))
+    return labelled
+
+
 def select_series(
     samples: DataFrame, name: str | None = None, labels: dict[str, str] | None = None
 ) -> DataFrame:
@@ -48,13 +63,18 @@ def select_series(
     return match_labels(samples, labels or {})
 
 
-def _narrow_points(points: DataFrame, name: str | None) -> DataFrame:
-    """Drop points that cannot yield the series ``name``, before any unnesting.
+def _narrow_points(
+    points: DataFrame, name: str | None, labels: dict[str, str] | None = None
+) -> DataFrame:
+    """Drop points that cannot yield a wanted series, before unnesting or parsing.
 
     The text before the first ``_`` of a sanitised name is unchanged by
     sanitising, so it is a prefix of the stored name: that prefix test reaches
     the Parquet statistics, the sanitised comparison does not.
     """
+    for value in (labels or {}).values():
+        prefilter = mentions("dp_attrs", [value])
+        points = points if prefilter is None else points.where(prefilter)
     if not name:
         return points
     wanted = _sanitized(name)
@@ -93,14 +113,10 @@ def latest_by_attrs(points: DataFrame) -> DataFrame:
     return raw.groupBy("series_name", "attrs").agg(*_latest_aggregates("id", "id"))
 
 
-def merge_latest(partial: DataFrame) -> DataFrame:
+def merge_latest(partial: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
     """Combine rows of ``latest_by_attrs`` (of one or many batches) into one per series."""
-    merged = (
-        partial.select("*", parse_labels("attrs").alias("labels"))
-        .groupBy(*SERIES)
-        .agg(*_latest_aggregates("first_id", "last_id"))
-    )
-    return _named_type(merged)
+    labelled = _with_labels(partial, "last_id >= first_id", labels)
+    return _named_type(labelled.groupBy(*SERIES).agg(*_latest_aggregates("first_id", "last_id")))
 
 
 def _named_type(df: DataFrame) -> DataFrame:
@@ -114,45 +130,58 @@ def _named_type(df: DataFrame) -> DataFrame:
     )
 
 
-def latest_per_series(points: DataFrame, name: str | None = None) -> DataFrame:
+def latest_per_series(
+    points: DataFrame, name: str | None = None, labels: dict[str, str] | None = None
+) -> DataFrame:
     """The last *arrived* sample of every series, with the type that arrived first.
 
+    ``name`` and ``labels`` select series.
+
     Batch input aggregates by attribute text and then by labels: the first
     shuffle carries one row per task and text, the second one per text, and JSON
     is parsed once per distinct text. A stream allows one stateful aggregation,
     so there labels are parsed first and state is kept per series.
     """
-    points = _narrow_points(points, name)
+    points = _narrow_points(points, name, labels)
     if not points.isStreaming:
-        return merge_latest(latest_by_attrs(points))
+        return select_series(merge_latest(latest_by_attrs(points), labels), name)
     raw = raw_samples(points).withColumn("type_code", _type_code())
-    grouped = raw.select("*", parse_labels("attrs").alias("labels")).groupBy(*SERIES)
+    labelled = raw.select("*", parse_labels("attrs").alias("labels"))
+    grouped = select_series(labelled, name, labels).groupBy(*SERIES)
     return _named_type(grouped.agg(*_latest_aggregates("id", "id")))
 
 
 # --- retained history --------------------------------------------------------
 
 
-def _spread_over_series(per_attrs: DataFrame, column: str, how) -> DataFrame:
+def _spread_over_series(
+    per_attrs: DataFrame, column: str, how, labels: dict[str, str] | None = None
+) -> DataFrame:
     """Reduce a per-text value to its series and give it back to each text.
 
     ``per_attrs`` is one row per (name, text), so both sides are small; an
     aggregate and a join are used rather than a window so that many texts with
     equal labels never meet in one task's buffer.
     """
-    labelled = per_attrs.select("*", parse_labels("attrs").alias("labels"))
+    labelled = _with_labels(per_attrs, "rows > 0", labels).drop("rows")
     per_series = labelled.groupBy(*SERIES).agg(how(column).alias(column))
     return labelled.drop(column).join(per_series, SERIES)
 
 
 def _first_kept(
-    raw: DataFrame, retention: float | None, cutoff: float | None, arrival: str | None
+    raw: DataFrame,
+    retention: float | None,
+    cutoff: float | None,
+    arrival: str | None,
+    labels: dict[str, str] | None,
 ) -> DataFrame:
     """(series_name, attrs, labels, first_kept) of the texts whose series keep samples."""
     key = ["series_name", "attrs"]
     if arrival:
-        last_seen = raw.groupBy(*key).agg(F.max(arrival).alias("seen"))
-        cutoffs = _spread_over_series(last_seen, "seen", F.max).select(
+        last_seen = raw.groupBy(*key).agg(
+            F.max(arrival).alias("seen"), F.count("*").alias("rows")
+        )
+        cutoffs = _spread_over_series(last_seen, "seen", F.max, labels).select(
             *key, (F.col("seen") - F.lit(retention)).alias("cutoff")
         )
         raw = raw.join(written(cutoffs), key)
@@ -161,8 +190,11 @@ def _first_kept(
         is_fresh = F.col("timestamp") >= F.lit(cutoff)
     # A text without a fresh sample of its own may belong to a series that has
     # one, so every text stays in, with NULL.
-    per_attrs = raw.groupBy(*key).agg(F.min(F.when(is_fresh, F.col("id"))).alias("first_kept"))
-    return _spread_over_series(per_attrs, "first_kept", F.min).where("first_kept IS NOT NULL")
+    per_attrs = raw.groupBy(*key).agg(
+        F.min(F.when(is_fresh, F.col("id"))).alias("first_kept"), F.count("*").alias("rows")
+    )
+    spread = _spread_over_series(per_attrs, "first_kept", F.min, labels)
+    return spread.where("first_kept IS NOT NULL")
 
 
 def series_history(
@@ -200,14 +232,17 @@ def _history(points, retention, as_of, cutoff, arrival, name, labels, *described
         raise ValueError("give retention or cutoff")
     if cutoff is None and not arrival:
         cutoff = (time.time() if as_of is None else as_of) - retention
-    raw = raw_samples(_narrow_points(points, name), keep=[arrival] if arrival else None)
+    raw = raw_samples(
+        _narrow_points(points, name, labels), keep=[arrival] if arrival else None
+    )
     kept = _first_kept(
         raw,
         None if retention is None else float(retention),
         None if cutoff is None else float(cutoff),
         arrival,
+        labels,
     )
-    kept = written(select_series(kept, name, labels).select("*", *described))
+    kept = written(select_series(kept, name).select("*", *described))
     extra = [c for c in kept.columns if c not in ("series_name", "attrs", "labels", "first_kept")]
     return (
         raw.join(kept, ["series_name", "attrs"])
@@ -244,28 +279,24 @@ def label_names(points: DataFrame) -> DataFrame:
 # --- results -----------------------------------------------------------------
 
 
-def prom_type(metric_type: str) -> Column:
-    """``counter`` for sums, monotonic or not, else ``gauge``."""
-    return F.when(F.col(metric_type) == "sum", "counter").otherwise("gauge")
-
-
 def exposition(points: DataFrame) -> DataFrame:
     """Text exposition as ordered rows ``line``: a TYPE line per name, then its series.
 
     Names that sanitise alike stay separate groups. Within a name, series are
     ordered by labels, and the TYPE line follows the series that arrived first.
+    The latest samples feed both kinds of line, so they are written once.
     """
-    latest = latest_per_series(points)
+    latest = written(latest_per_series(points))
     headers = (
         latest.groupBy("series_name")
-        .agg(F.min_by("metric_type", "first_id").alias("metric_type"))
+        .agg(F.min_by(F.col("metric_type") == "sum", "first_id").alias("is_sum"))
         .select(
             "series_name",
             F.lit(0).alias("part"),
             F.lit(None).cast("array<struct<k:string,v:string>>").alias("labels"),
             F.concat(
                 F.lit("# TYPE "), sanitize_metric("series_name"), F.lit(" "),
-                prom_type("metric_type"),
+                F.when(F.col("is_sum"), "counter").otherwise("gauge"),
             ).alias("line"),
         )
     )
@@ -303,8 +334,7 @@ def instant(
     Besides the plain columns, ``metric`` is the JSON label map and ``point``
     the JSON pair ``[seconds,"value"]``.
     """
-    latest = select_series(latest_per_series(points, name), name, labels)
-    return _result(latest.select("*", *_described()))
+    return _result(latest_per_series(points, name, labels).select("*", *_described()))
 
 
 def range_(

@@ -37,6 +37,24 @@ def test_selection_reaches_the_scan(stored):
     assert "StringStartsWith(metric_name,app)" in text
 
 
+def test_labels_are_parsed_above_the_first_aggregation(stored):
+    text = plan(series.instant(stored, "m", {"host": "a"}))
+    assert "exists(labels" in text
+    assert "from_json" not in text[text.rindex("HashAggregate(keys=[series_name"):]
+    assert "Contains(dp_attrs, a)" in text
+
+
+def test_attributes_are_parsed_above_the_first_aggregation(stored):
+    text = plan(buckets.bucket_avg(stored, 10, 0, 100, objects=["Ethernet0"], types=["1"]))
+    assert "from_json" not in text[text.rindex("HashAggregate(keys=[bucket"):]
+    assert "Contains(dp_attrs, Ethernet0)" in text
+
+
+def test_exposition_reads_the_points_once(stored):
+    text = plan(series.exposition(stored))
+    assert "dp_attrs" not in text
+
+
 def test_history_has_no_window(stored):
     text = plan(series.series_history(stored, cutoff=1.0))
     assert "Window" not in text and "collect_list" not in text and "NestedLoop" not in text
