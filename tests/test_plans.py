@@ -41,13 +41,13 @@ def test_labels_are_parsed_above_the_first_aggregation(stored):
     text = plan(series.instant(stored, "m", {"host": "a"}))
     assert "exists(labels" in text
     assert "from_json" not in text[text.rindex("HashAggregate(keys=[series_name"):]
-    assert "Contains(dp_attrs, a)" in text
+    assert "StringContains(dp_attrs,a)" in text
 
 
 def test_attributes_are_parsed_above_the_first_aggregation(stored):
     text = plan(buckets.bucket_avg(stored, 10, 0, 100, objects=["Ethernet0"], types=["1"]))
     assert "from_json" not in text[text.rindex("HashAggregate(keys=[bucket"):]
-    assert "Contains(dp_attrs, Ethernet0)" in text
+    assert "StringContains(dp_attrs,Ethernet0)" in text
 
 
 def test_exposition_reads_the_points_once(stored):
