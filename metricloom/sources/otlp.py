@@ -20,7 +20,7 @@ def read_otlp(spark: SparkSession, path: str, streaming: bool = False, **options
         .json(path)
         .select(
             "*",
-            F.col("_metadata.file_modification_time").alias("_file_time"),
+            F.unix_micros("_metadata.file_modification_time").alias("_file_time"),
             F.col("_metadata.file_path").alias("_file"),
             F.col("_metadata.file_block_start").alias("_block"),
         )

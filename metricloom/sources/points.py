@@ -38,17 +38,23 @@ def conform(points: DataFrame) -> DataFrame:
     )
 
 
+def batch_folder(path: str, stream: str, batch_id: int) -> str:
+    """Where a batch lives. Every writer uses this form, so the table's folders agree."""
+    return f"{path}/stream={stream}/batch_id={batch_id}"
+
+
 def append_points(points: DataFrame, path: str) -> None:
     """Append a batch. Rows without ``id`` are numbered after those in the table.
 
     One writer at a time, as ids continue from the highest one present. The
     job's commit makes the whole batch visible at once.
     """
+    folder = batch_folder(path, "append", 0)
     if "id" in points.columns:
-        conform(points).write.mode("append").parquet(path)
+        conform(points).write.mode("append").parquet(folder)
         return
     with arrival_ids(points, max_id(points.sparkSession, path)) as (numbered, _):
-        conform(numbered).write.mode("append").parquet(path)
+        conform(numbered).write.mode("append").parquet(folder)
 
 
 def write_analysis_layout(points: DataFrame, path: str, files: int | None = None) -> None:

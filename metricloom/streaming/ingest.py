@@ -8,14 +8,14 @@ import threading
 from collections.abc import Callable
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.flatten import flatten
 from ..operators.series import latest_by_attrs, merge_latest
 from ..sources.arrival import SPLIT_COLUMNS, arrival_ids
 from ..sources.jsonl import write_jsonl
-from ..sources.points import conform, max_id
+from ..sources.points import batch_folder, conform, max_id
 
 log = logging.getLogger(__name__)
 
@@ -52,7 +52,9 @@ class Ingest:
     JSON-lines failure is logged and does not fail the batch; any other does,
     and the batch is tried again on restart.
 
-    ``max_rows`` stops the stream after the batch that reaches it; 0 is no cap.
+    ``max_rows`` stops the stream after the batch that reaches it; what the
+    source delivers until the stop takes effect is not written. 0 is no cap.
+    Numbering rows needs the table to itself: one ingest at a time.
     """
 
     def __init__(
@@ -66,7 +68,8 @@ class Ingest:
     ):
         self.checkpoint, self.table, self.jsonl, self.series = checkpoint, table, jsonl, series
         self.max_rows, self.on_batch = max_rows, on_batch
-        self.stream_name = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+        # The letter keeps partition discovery from reading the name as a number.
+        self.stream_name = "s" + hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
         self.total = 0
         self.full = threading.Event()
         self.query: StreamingQuery | None = None
@@ -91,7 +94,6 @@ class Ingest:
 
     def _id_base(self, spark: SparkSession) -> int:
         """A multiple of the batch range above every id other streams wrote."""
-        own = f"stream={self.stream_name}"
         try:
             others = spark.read.option("basePath", self.table).parquet(self.table)
         except PySparkException as error:
@@ -100,8 +102,8 @@ class Ingest:
             return 0
         if "stream" in others.columns:
             top = (
-                others.where(f"NOT (stream <=> '{own.removeprefix('stream=')}')")
-                .agg({"id": "max"})
+                others.where(F.col("stream").cast("string") != self.stream_name)
+                .agg(F.max("id"))
                 .first()[0]
             ) or 0
         else:
@@ -109,9 +111,6 @@ class Ingest:
         batches = (top + (1 << BATCH_ID_BITS) - 1) >> BATCH_ID_BITS
         return batches << BATCH_ID_BITS
 
-    def _folder(self, path: str, batch_id: int) -> str:
-        return f"{path}/stream={self.stream_name}/batch_id={batch_id}"
-
     def write(self, batch: DataFrame, batch_id: int) -> None:
         if self.full.is_set():
             return
@@ -135,15 +134,17 @@ class Ingest:
         if rows >> BATCH_ID_BITS:
             raise ValueError("micro-batch too large for its id range; lower maxFilesPerTrigger")
         if self.series:
-            changes = latest_by_attrs(points)
-            changes.write.mode("overwrite").parquet(self._folder(self.series, batch_id))
+            folder = batch_folder(self.series, self.stream_name, batch_id)
+            latest_by_attrs(points).write.mode("overwrite").parquet(folder)
         if self.table:
-            points.write.mode("overwrite").parquet(self._folder(self.table, batch_id))
+            folder = batch_folder(self.table, self.stream_name, batch_id)
+            points.write.mode("overwrite").parquet(folder)
         if self.on_batch:
             self.on_batch(points, batch_id)
         if self.jsonl:
             try:
-                write_jsonl(points, self._folder(self.jsonl, batch_id), mode="overwrite")
+                folder = batch_folder(self.jsonl, self.stream_name, batch_id)
+                write_jsonl(points, folder, mode="overwrite")
             except Exception:
                 log.exception("JSON lines of batch %d not written", batch_id)
         self.total += rows
