@@ -17,13 +17,18 @@ def _shortest_text(x: str) -> str:
     """Decimal text with the fewest digits that still reads back as ``x``.
 
     The JVM's text can carry a superfluous digit or two; fewer digits are tried
-    first and kept when they denote the same double.
+    first and kept when they denote the same double. Up to 15 digits it cannot,
+    except below the normal range.
     """
+    text = f"CAST({x} AS STRING)"
     attempts = (
         f"transform(array('%.0e', '%.14e', '%.15e', '%.16e'), sf -> format_string(sf, {x}))"
     )
     same = f"get(filter({attempts}, st -> CAST(st AS DOUBLE) = {x}), 0)"
-    return f"coalesce(upper({same}), CAST({x} AS STRING))"
+    return (
+        f"CASE WHEN length(substring_index({text}, 'E', 1)) <= 16 AND abs({x}) > 2.3e-308D"
+        f" THEN {text} ELSE coalesce(upper({same}), {text}) END"
+    )
 
 
 def _decompose(x: str) -> str:

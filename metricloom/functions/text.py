@@ -41,8 +41,8 @@ def json_str_sql(c: str) -> str:
         f"reduce(sequence(0, 31), {quoted}, (ja, jc) -> replace(ja, char(jc), {escape}))"
     )
     return (
-        f"concat('\"', CASE WHEN {c} RLIKE r'[\\x00-\\x1f]' THEN {controls}"
-        f" ELSE {quoted} END, '\"')"
+        f"concat('\"', CASE WHEN NOT {c} RLIKE r'[\"\\\\\\x00-\\x1f]' THEN {c}"
+        f" WHEN {c} RLIKE r'[\\x00-\\x1f]' THEN {controls} ELSE {quoted} END, '\"')"
     )
 
 
