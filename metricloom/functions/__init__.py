@@ -35,6 +35,7 @@ as_i32 = _column(_numbers.as_i32_sql)
 as_i64 = _column(_numbers.as_i64_sql)
 fmt_f64 = _column(_numbers.fmt_f64_sql)
 json_f64 = _column(_numbers.json_f64_sql)
+json_seconds = _column(_numbers.json_seconds_sql)
 any_value_to_json = _column(_otlp.any_value_to_json_sql)
 attrs_to_json = _column(_otlp.attrs_to_json_sql)
 escape_label = _column(_text.escape_label_sql)
@@ -54,6 +55,7 @@ __all__ = [
     "fmt_f64",
     "format_labels",
     "json_f64",
+    "json_seconds",
     "json_str",
     "lenient_int",
     "metric_map_json",

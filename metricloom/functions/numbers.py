@@ -106,6 +106,25 @@ def json_f64_sql(x: str) -> str:
     )
 
 
+def json_seconds_sql(x: str) -> str:
+    """``json_f64`` for epoch seconds, which all have ten digits before the point.
+
+    Six decimals make 16 digits; they are the text when they read back as ``x``,
+    else the JVM's 17 digits are. Decimal casts are far cheaper than the general
+    search, and every row of a range result needs one.
+    """
+    micros = f"CAST({x} AS DECIMAL(38,6))"
+    trimmed = f"rtrim('0', CAST({micros} AS STRING))"
+    text = f"CAST({x} AS STRING)"
+    return (
+        f"CASE WHEN {x} >= 1e9D AND {x} < 1e10D THEN CASE WHEN CAST({micros} AS DOUBLE) = {x}"
+        f" THEN concat({trimmed}, CASE WHEN endswith({trimmed}, '.') THEN '0' ELSE '' END)"
+        f" ELSE concat(substring({text}, 1, 1), substring({text}, 3, 9), '.',"
+        f" substring(substring_index({text}, 'E', 1), 12)) END"
+        f" ELSE {json_f64_sql(x)} END"
+    )
+
+
 def as_i64_sql(text: str) -> str:
     """Decimal text of an unsigned 64-bit integer, reinterpreted as signed."""
     wide = f"try_cast({text} AS DECIMAL(20,0))"

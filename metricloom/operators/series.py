@@ -16,7 +16,7 @@ from ..functions import (
     sanitize_metric,
 )
 from ..functions.binding import quote
-from ..functions.numbers import fmt_f64_sql, json_f64_sql
+from ..functions.numbers import fmt_f64_sql, json_seconds_sql
 from ..functions.text import sanitize_metric_sql
 from ..schema import METRIC_TYPES
 from ..sources.scratch import written
@@ -33,6 +33,16 @@ def _sanitized(name: str) -> str:
     return re.sub(r"[^A-Za-z0-9_:]", "_", name)
 
 
+def _is_named(column: str, *names: str) -> Column:
+    """The sanitised ``column`` equals one of the sanitised ``names``.
+
+    Turned round into a pattern for the raw text, since matching is cheaper
+    than replacing: a ``_`` stands for any character sanitising turns into one.
+    """
+    patterns = (_sanitized(n).replace("_", "[^A-Za-z0-9:]") for n in names)
+    return F.col(column).rlike(rf"\A(?:{'|'.join(patterns)})\z")
+
+
 def _has_label(key: str, value: str) -> Column:
     return F.expr(f"exists(labels, l -> l.k = {quote(key)} AND l.v = {quote(value)})")
 
@@ -59,7 +69,7 @@ def select_series(
 ) -> DataFrame:
     """Series by name (both sides sanitised; None or '' is any) and label pairs."""
     if name:
-        samples = samples.where(sanitize_metric("series_name") == _sanitized(name))
+        samples = samples.where(_is_named("series_name", name))
     return match_labels(samples, labels or {})
 
 
@@ -70,7 +80,7 @@ def _narrow_points(
 
     The text before the first ``_`` of a sanitised name is unchanged by
     sanitising, so it is a prefix of the stored name: that prefix test reaches
-    the Parquet statistics, the sanitised comparison does not.
+    the Parquet statistics, the name pattern does not.
     """
     for value in (labels or {}).values():
         prefilter = mentions("dp_attrs", [value])
@@ -82,7 +92,7 @@ def _narrow_points(
     stem = re.split("_", wanted)[0]
     if stem:
         points = points.where(F.col("metric_name").startswith(stem))
-    return points.where(sanitize_metric("metric_name").isin(bases))
+    return points.where(_is_named("metric_name", *bases))
 
 
 # --- latest value per series -------------------------------------------------
@@ -320,7 +330,7 @@ def _described() -> list[Column]:
 
 
 def _result(df: DataFrame, *leading: str) -> DataFrame:
-    pair = f"concat('[', {json_f64_sql('timestamp')}, ',\"', {fmt_f64_sql('value')}, '\"]')"
+    pair = f"concat('[', {json_seconds_sql('timestamp')}, ',\"', {fmt_f64_sql('value')}, '\"]')"
     return df.select(
         *leading, "name", *SERIES, "timestamp", "value", "metric", F.expr(pair).alias("point")
     )

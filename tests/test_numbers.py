@@ -8,7 +8,7 @@ from decimal import Decimal
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from metricloom.functions import as_i32, as_i64, fmt_f64, json_f64, lenient_int
+from metricloom.functions import as_i32, as_i64, fmt_f64, json_f64, json_seconds, lenient_int
 
 SPECIAL = [
     50.0, 72.5, 1e7, 1e21, 1e22, 1e23, 2e23, -1.5e-7, 5e-324, 1.7976931348623157e308,
@@ -55,6 +55,16 @@ def test_special_values(spark):
     check(spark, [*SPECIAL, math.nan, math.inf, -math.inf])
 
 
+def test_epoch_seconds(spark):
+    rng = random.Random(11)
+    values = [1e9, 9999999999.999998, 1704067200.0, 1704067207.5, 0.0, -1.5, 1e10, 999999999.9]
+    values += [(1_704_067_200_000_000_000 + rng.randrange(10**16)) / 1e9 for _ in range(5000)]
+    values += [rng.uniform(1e9, 1e10) for _ in range(5000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for row in df.select("x", json_seconds("x").alias("j")).collect():
+        assert row.j == json_text(row.x), row.x
+
+
 def test_null(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert df.select(fmt_f64("x"), json_f64("x")).first() == (None, "null")

@@ -138,6 +138,15 @@ def test_selection(cpus, name, labels, count):
     assert series.instant(cpus, name, labels).count() == count
 
 
+@pytest.mark.parametrize(
+    "raw", ["a.b", "a_b", "a-b", "a\nb", "aéb", "a😀b", "axb", "a:b", "a1b", "a.b\n", "xa.b", "a..b"]
+)
+def test_selection_compares_sanitised_names(make_points, raw):
+    clean = "".join(c if c.isascii() and (c.isalnum() or c in "_:") else "_" for c in raw)
+    points = make_points([gauge(raw, 1.0)])
+    assert series.instant(points, "a_b").count() == (clean == "a_b")
+
+
 def test_selecting_histogram_parts(make_points):
     points = make_points([histogram("req.duration", 2, 3.0), gauge("req-duration_sum", 9.0)])
     assert series.instant(points, "req_duration_count").count() == 1
