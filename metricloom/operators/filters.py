@@ -17,7 +17,8 @@ def mentions(text: str, values: list[str]) -> Column | None:
     dictionary pages. None when a value may be spelled differently in the text:
     numbers, nested JSON, quotes and control characters.
     """
-    if not values or any(re.match(r"\s*[-+0-9.\[{]|$", v) or re.search(r'["\x00-\x1f]', v) for v in values):
+    respelled = re.compile(r"""\s*[-+0-9.\[{]|$|.*["\x00-\x1f]""", re.DOTALL)
+    if not values or any(respelled.match(v) for v in values):
         return None
     condition = F.col(text).contains("\\")
     for value in values:

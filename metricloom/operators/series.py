@@ -278,7 +278,11 @@ def metric_names(points: DataFrame) -> DataFrame:
 
 def label_names(points: DataFrame) -> DataFrame:
     """Known label names and ``__name__``, unique, sorted."""
-    texts = raw_samples(points).select("attrs").distinct()
+    # A histogram with neither part gives no sample; every other point gives one.
+    sampled = points.where(
+        "NOT (metric_type <=> 'histogram' AND hist_sum IS NULL AND hist_count IS NULL)"
+    )
+    texts = sampled.selectExpr("coalesce(dp_attrs, '') AS attrs").distinct()
     keys = texts.select(F.explode(parse_labels("attrs")).alias("l")).select(
         F.col("l.k").alias("label")
     )

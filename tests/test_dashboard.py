@@ -197,3 +197,18 @@ def test_time_bounds_share_one_scan(make_points):
     lo, hi = buckets.time_bounds(points)
     assert points.limit(1).select(lo.alias("a"), hi.alias("b")).first() == (0, 2 * S)
     assert points.where(F.col("timestamp_ns") == lo).count() == 1
+
+
+@pytest.mark.parametrize(
+    "value, testable",
+    [("Ethernet0", True), ("node-1", True), ("true", True), ("1", False), ("-2", False),
+     (" 3", False), ("", False), ("[1]", False), ('a"b', False), ("a\nb", False), ("a\\b", True)],
+)
+def test_which_values_can_be_tested_on_raw_text(spark, value, testable):
+    assert (filters.mentions("dp_attrs", ["x", value]) is not None) == testable
+
+
+def test_prefilter_keeps_escaped_spellings(make_points):
+    texts = ['{"k":"a\\\\b"}', '{"k":"a\\u005cb"}', '{"k":"ab"}', None]
+    points = make_points([{"metric_name": "m", "timestamp_ns": 1, "dp_attrs": t} for t in texts])
+    assert filters.attr_in(points, "k", ["a\\b"]).count() == 2

@@ -146,7 +146,8 @@ def test_nested_attributes(spark):
     got = attrs(
         spark,
         [
-            kv("list", "arrayValue", {"values": [{"intValue": "4"}, {}, {"kvlistValue": {"values": inner}}]}),
+            kv("list", "arrayValue",
+               {"values": [{"intValue": "4"}, {}, {"kvlistValue": {"values": inner}}]}),
             kv("empty", "arrayValue", {}), kv("none", "kvlistValue", {}),
         ],
     )
