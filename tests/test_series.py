@@ -178,6 +178,15 @@ def replay(rows, cutoff_of):
     return sorted(i for q in queues.values() for i, _ in q)
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    yield
+    spark.conf.set(key, before)
+
+
 def random_rows(seed):
     rng = random.Random(seed)
     return [
@@ -193,6 +202,13 @@ def test_history_matches_replay(make_points, cutoff):
     assert sorted(r.id for r in kept.collect()) == replay(rows, lambda r: cutoff)
 
 
+def test_history_by_shuffled_join(make_points, no_broadcast):
+    rows = random_rows(5)
+    kept = series.series_history(make_points(rows), cutoff=60.0)
+    assert "SortMergeJoin" in kept._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in kept.collect()) == replay(rows, lambda r: 60.0)
+
+
 def test_history_by_last_arrival_matches_replay(make_points, spark):
     rows = random_rows(4)
     for i, row in enumerate(rows):
