@@ -7,13 +7,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from metricloom.plans import workload
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages"
     " benchmark labels conversations"
 ).split()
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = workload.QUERIES, workload.ORACLES
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no benchmark tables")
 
@@ -40,6 +41,8 @@ def rows_of(columns, rows):
 
 def test_every_query_has_an_oracle():
     assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.keys() <= entry_module.queries().keys()
+    assert ORACLES.keys() <= entry_module.oracle_sql().keys()
 
 
 @pytest.mark.parametrize("name", QUERIES)
