@@ -34,4 +34,4 @@ def lists(values, counts, kind: pa.DataType) -> pa.ListArray:
     """Rows of ``counts`` consecutive ``values``."""
     ends = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.asarray(values), kind))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values if isinstance(values, list) else np.asarray(values), kind))

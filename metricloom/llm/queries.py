@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import bpe, jaccard_join, secret_scan, token_counts
+from metricloom.llm import bpe, jaccard_join, secret_scan, token_counts, toxicity
 
 #: Folder of the tokenizer files, on every worker; unset, that of the installed package.
 TOKENIZER_DIR = os.environ.get("METRICLOOM_TOKENIZERS")
 TOKEN_LIMIT = 4096
+TOXIC = 0.7
 
 
 def vocabulary(name: str) -> str:
@@ -68,8 +69,30 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def fold(n: int):
+    """Checksum of the id's decimal text, by which rows are dealt to folds."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def toxicity_index(spark: SparkSession, sf_dir: str) -> toxicity.ExampleIndex:
+    labels = table(spark, sf_dir, "labels").where(fold(3) != 1)
+    return toxicity.fit_index(labels, table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), toxicity_index(spark, sf_dir))
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+        "evidence",
+        "closeness",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_secret_scan, op3_bpe_roundtrip, op7_jaccard_join, op8_token_counts)
+    f.__name__: f for f in (op2_secret_scan, op3_bpe_roundtrip, op7_jaccard_join, op8_token_counts, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {}
