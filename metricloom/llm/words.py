@@ -37,6 +37,10 @@ _LOWER[65:91] = _VALUES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
+#: The same with all other ASCII characters that are no letter or digit.
+_MARKS = _SPACE.copy()
+_MARKS[[b for b in range(128) if not chr(b).isalnum()]] = True
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -70,10 +74,11 @@ class Words:
         return np.diff(self.first)
 
 
-def blocks(texts: pa.Array, lower: bool = False, size: int = BLOCK_BYTES) -> Iterator[Words]:
+def blocks(texts: pa.Array, lower: bool = False, marks: bool = False, size: int = BLOCK_BYTES) -> Iterator[Words]:
     """``texts`` in blocks of about ``size`` bytes; null reads as empty.
 
-    With ``lower`` the hashes see A-Z as a-z.
+    With ``lower`` the hashes see A-Z as a-z; with ``marks`` ASCII punctuation
+    and control characters part words too.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -89,13 +94,13 @@ def blocks(texts: pa.Array, lower: bool = False, size: int = BLOCK_BYTES) -> Ite
         to = int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1
         to = min(n, max(at + 1, to))
         own = offsets[at : to + 1]
-        yield _words(slice(at, to), body[own[0] : own[-1]], own - own[0], lower)
+        yield _words(slice(at, to), body[own[0] : own[-1]], own - own[0], lower, _MARKS if marks else _SPACE)
         at = to
 
 
-def _words(rows: slice, data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
+def _words(rows: slice, data: np.ndarray, offsets: np.ndarray, lower: bool, parts: np.ndarray) -> Words:
     n = len(data)
-    solid = ~_SPACE[data]
+    solid = ~parts[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     before = np.empty(n, bool)
@@ -128,3 +133,14 @@ def grams(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
             out += words.hash[j : n + j]
     at = np.flatnonzero(words.doc[:n] == words.doc[k - 1 :])
     return mix(out[at]), at
+
+
+def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of each run of ``size`` of one text's word hashes, by running Karp-Rabin sums."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(hashes) + 1, np.uint64)
+        np.cumsum(hashes * _power("up", _BASE, len(hashes)), out=sums[1:])
+        return (sums[size:] - sums[:n]) * _power("down", _BASE_INVERSE, n)
