@@ -19,20 +19,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that are alike in 0.8 or more of their five-word shingles.
+    """One row of each group of texts that are linked as in op7: 0.9 of their three-word shingles.
 
-    The row with the group's least doc_id stays (of rows that repeat it, one);
-    rows without words are all kept.
+    The row with the group's least doc_id stays, of several the one of least
+    digest; a row that repeats another's doc_id and text is its copy. Rows
+    without words are linked with nothing and stay.
     """
-    tagged = docs.withColumn("own", F.monotonically_increasing_id())
-    # Ids are given out once and kept, so a task that is run again cannot change them.
-    tagged = written(tagged)
-    key = F.struct("doc_id", "own")
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    tagged = docs.withColumn("digest", digest)
     groups = jaccard_join.jaccard_components(
-        tagged.select(key.alias("key"), "text"), "key", "text", shingle=5, threshold=80
+        tagged.select(F.struct("doc_id", "digest").alias("key"), "text"), "key", "text", shingle=3, threshold=90
     )
-    kept = groups.where("component_id = key OR n_shingles = 0").select(F.col("key.own").alias("own"))
-    return tagged.join(kept, "own", "left_semi").select(COLUMNS)
+    kept = groups.where("component_id <=> key").select(
+        F.col("key.doc_id").alias("kept_id"), F.col("key.digest").alias("kept_digest")
+    )
+    same = F.expr("doc_id <=> kept_id AND digest = kept_digest")
+    return tagged.join(kept, same, "left_semi").dropDuplicates(["doc_id", "digest"]).select(COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
