@@ -271,12 +271,19 @@ def jaccard_components(
     )
     more = written(tested(pairs))
     labels = components(links.unionByName(more)) if more.take(1) else labels
-    placed = base.select("key", "n", "set").join(
-        labels.select(F.col("node").alias("set"), "component"), "set", "left"
-    ).withColumn("component", F.coalesce("component", "set"))
-    least = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("key").alias("least"))
-    return placed.join(least, "component", "left").select(
-        F.col("key").alias(key),
-        F.col("n").alias("n_shingles"),
-        F.coalesce("least", "key").alias("component_id"),
+    # The least key of each class, then of each component, then back to the rows by class:
+    # a component's rows are never brought together.
+    firsts = base.where("set IS NOT NULL").groupBy("set").agg(F.min("key").alias("first"))
+    known = labels.withColumnRenamed("node", "set").join(firsts, "set")
+    least = known.groupBy("component").agg(F.min("first").alias("least"))
+    known = known.join(least, "component").select("set", "least")
+    named = firsts.join(known, "set", "left").select("set", F.coalesce("least", "first").alias("least"))
+    return (
+        base.select("key", "n", "set")
+        .join(named, "set", "left")
+        .select(
+            F.col("key").alias(key),
+            F.col("n").alias("n_shingles"),
+            F.coalesce("least", "key").alias("component_id"),
+        )
     )

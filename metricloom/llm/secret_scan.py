@@ -173,6 +173,7 @@ def redact_secrets(
     Overlapping spans give one mark; null stays null; all rows and columns are
     kept. Spans depend on the text alone, so they are joined by its digest.
     """
+    names = docs.columns
     tagged = docs.withColumn("__digest", F.sha2(F.col(text), 256))
     found = (
         scan_secrets(tagged.select(F.col("__digest").alias("key"), F.col(text).alias("text")), "key", "text", scope)
@@ -194,7 +195,7 @@ def redact_secrets(
                         at = stop
                     value = "".join([*parts, value[at:]])
                 out.append(value)
-            columns = {n: batch.column(n) for n in docs.columns}
+            columns = {n: batch.column(n) for n in names}
             columns[text] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
