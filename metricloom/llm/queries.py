@@ -16,6 +16,7 @@ from metricloom.llm import (
     jaccard_join,
     language_id,
     secret_scan,
+    substring_dedup,
     token_counts,
     toxicity,
 )
@@ -113,6 +114,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def toxicity_index(spark: SparkSession, sf_dir: str) -> toxicity.ExampleIndex:
     labels = table(spark, sf_dir, "labels").where(fold(3) != 1)
     return toxicity.fit_index(labels, table(spark, sf_dir, "documents"))
@@ -131,7 +137,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op2_secret_scan, op3_bpe_roundtrip, op4_decontaminate, op5_chat_format, op6_language_id, op7_jaccard_join, op8_token_counts, op10_toxicity)
+    f.__name__: f for f in (op1_fingerprints, op2_secret_scan, op3_bpe_roundtrip, op4_decontaminate, op5_chat_format, op6_language_id, op7_jaccard_join, op8_token_counts, op9_substring_dedup, op10_toxicity)
 }
 
 ORACLES: dict[str, str] = {}
