@@ -17,6 +17,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,9 +166,14 @@ def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def _with_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.compute.greater(pa.compute.list_value_length(batch.column("open")).fill_null(0), 0))
+
+
 def _open_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words of the segments that must be matched: those of the row's list ``open``."""
-    for batch in text_slices(batches):
+    for batch in text_slices(_with_open(batches)):
         for words in blocks(batch.column("text")):
             own = Segments(words)
             lists = batch.column("open").slice(words.rows.start, len(words.first) - 1).to_pylist()
@@ -316,9 +322,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
     settled = written(settled.withColumnRenamed("key", "own"))
     held = rows.join(settled, F.col("key") == F.col("own"), "left").drop("own")
+    # Rows without open segments are left out by the function: a filter here would make the
+    # two joins read different exchanges of the texts.
     hits = (
-        held.where("size(open) > 0")
-        .select("key", "text", "open")
+        held.select("key", "text", "open")
         .mapInArrow(_open_segments, f"key {kind}, anchor long, segment long, words binary")
         .dropDuplicates(["key", "segment"])
         .repartition("anchor")
