@@ -20,11 +20,11 @@ PER_LABEL = 3000
 #: Terms that the index knows: those that tell the labels apart best.
 TERMS = 4000
 #: Rows that must hold a term before it can be one of them, and the least chi-squared
-#: statistic of term and label (one chance in a thousand that they are independent).
+#: statistic of term and label (one chance in a million that they are independent).
 LEAST_ROWS = 3
-LEAST_CHI = 10.83
+LEAST_CHI = 24.0
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK = 256
 #: Letters at the start of a word that form a term of their own, so forms of a word not seen still count.
 STEM = 4
 
@@ -79,25 +79,26 @@ class ExampleIndex:
         bounds = weights @ self.most[terms]
         order = np.argsort(-bounds, kind="stable")
         found, scores = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 4
+        at, step = 0, 2
+        pointers = self.pointers[terms]
         while at < len(order) and bounds[order[at]] > 0:
             if len(scores) >= k and bounds[order[at]] < scores[k - 1] - 1e-9:
                 break
             block = order[at : at + step]
             at, step = at + step, step * 2
-            low = self.pointers[terms][:, block]
-            size = self.pointers[terms][:, block + 1] - low
+            low = pointers[:, block]
+            size = pointers[:, block + 1] - low
             flat = size.ravel()
             ends = np.cumsum(flat)
-            if not len(ends) or not ends[-1]:
+            if not ends[-1]:
                 continue
             where = np.repeat(low.ravel() - (ends - flat), flat) + np.arange(ends[-1])
             own = np.repeat(weights, size.sum(axis=1)) * self.value[where]
-            docs, place = np.unique(self.post[where], return_inverse=True)
-            sums = np.bincount(place, own)
+            sums = np.round(np.bincount(self.post[where], own, len(self.ids)), 12)
             if but >= 0:
-                docs, sums = docs[docs != but], sums[docs != but]
-            found, scores = np.r_[found, docs], np.r_[scores, np.round(sums, 12)]
+                sums[but] = 0.0
+            docs = np.flatnonzero(sums)
+            found, scores = np.r_[found, docs], np.r_[scores, sums[docs]]
             best = np.lexsort((found, -scores))[:k]
             found, scores = found[best], scores[best]
         return found, scores
