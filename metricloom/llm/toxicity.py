@@ -20,9 +20,9 @@ PER_LABEL = 3000
 #: Terms that the index knows: those that tell the labels apart best.
 TERMS = 4000
 #: Rows that must hold a term before it can be one of them, and the least chi-squared
-#: statistic of term and label (one chance in a million that they are independent).
+#: statistic of term and label (one chance in a thousand that they are independent).
 LEAST_ROWS = 3
-LEAST_CHI = 24.0
+LEAST_CHI = 10.83
 NEIGHBOURS = 15
 BLOCK = 256
 #: Letters at the start of a word that form a term of their own, so forms of a word not seen still count.
