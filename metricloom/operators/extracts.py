@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .filters import metric, time_range
 
-# Above this many rows a sorted limit would hold too much in each task.
-_TOP_K = 1 << 20
 _BLOCK_BITS = 20
 
 
@@ -54,18 +52,14 @@ def histogram_arrays(rows: DataFrame) -> DataFrame:
 
 
 def head(points: DataFrame, n: int = 10_000) -> DataFrame:
-    """The first ``n`` rows by arrival."""
-    if n <= _TOP_K:
-        return points.orderBy("id").limit(n)
-    return _first_arrivals(points, n)
+    """The first ``n`` rows by arrival, in that order."""
+    return _first_arrivals(points, n).orderBy("id")
 
 
 def tail(points: DataFrame, n: int) -> DataFrame:
-    """The last ``n`` rows by arrival."""
-    if n <= _TOP_K:
-        return points.orderBy(F.desc("id")).limit(n)
+    """The last ``n`` rows by arrival, latest first."""
     flipped = points.withColumn("id", -F.col("id"))
-    return _first_arrivals(flipped, n).withColumn("id", -F.col("id"))
+    return _first_arrivals(flipped, n).withColumn("id", -F.col("id")).orderBy(F.desc("id"))
 
 
 def first_point(points: DataFrame, name: str) -> DataFrame:
@@ -102,9 +96,10 @@ def _first_arrivals(points: DataFrame, n: int) -> DataFrame:
         F.min("block").alias("block"),
         (F.lit(n) - F.min_by(F.col("upto") - F.col("rows"), "block")).alias("remaining"),
     )
-    edge_start = F.coalesce(
-        edge.select(F.shiftleft("block", _BLOCK_BITS)).scalar(), F.lit(2**63 - 1)
-    )
+    # Shift and default stay inside the subquery: only a bare value is pushed to the scan.
+    edge_start = edge.select(
+        F.coalesce(F.shiftleft("block", _BLOCK_BITS), F.lit(2**63 - 1)).alias("start")
+    ).scalar()
     whole = points.where(F.col("id") < edge_start)
     rank = F.row_number().over(Window.orderBy("id"))
     partial = (

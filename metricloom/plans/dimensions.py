@@ -2,108 +2,22 @@
 
 from __future__ import annotations
 
-import re
-from itertools import product
+import csv
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 # Counter type id -> name in series labels.
 TYPE_NAMES = {1: "Port", 21: "Queue", 24: "BufPool", 26: "IngressPG"}
 
-# Statistic names per counter type, in id order from 0. Braces
-# list alternatives, the leftmost varying slowest; a-b is a range of integers.
-_SIZES = (
-    "{64,65To127,128To255,256To511,512To1023,1024To1518,1519To2047,"
-    "2048To4095,4096To9216,9217To16383}"
-)
-_STATISTICS = {
-    1: f"""
-        IfIn{{Octets,UcastPkts,NonUcastPkts,Discards,Errors,UnknownProtos}}
-        IfIn{{BroadcastPkts,MulticastPkts,VlanDiscards}}
-        IfOut{{Octets,UcastPkts,NonUcastPkts,Discards,Errors,Qlen,BroadcastPkts,MulticastPkts}}
-        EtherStats{{DropEvents,MulticastPkts,BroadcastPkts,UndersizePkts,Fragments}}
-        EtherStatsPkts{_SIZES}Octets
-        Ether{{Stats,Rx,Tx}}OversizePkts
-        EtherStats{{Jabbers,Octets,Pkts,Collisions,CrcAlignErrors,TxNoErrors,RxNoErrors}}
-        IpIn{{Receives,Octets,UcastPkts,NonUcastPkts,Discards}}
-        IpOut{{Octets,UcastPkts,NonUcastPkts,Discards}}
-        Ipv6In{{Receives,Octets,UcastPkts,NonUcastPkts,McastPkts,Discards}}
-        Ipv6Out{{Octets,UcastPkts,NonUcastPkts,McastPkts,Discards}}
-        {{Green,Yellow,Red,}}WredDropped{{Packets,Bytes}}
-        EcnMarkedPackets
-        Ether{{In,Out}}Pkts{_SIZES}Octets
-        {{In,Out}}{{,Shared}}{{CurrOccupancy,Watermark}}Bytes
-        {{In,Out}}DroppedPkts
-        Pause{{Rx,Tx}}Pkts
-        Pfc{{0-7}}{{Rx,Tx}}Pkts
-        Pfc{{0-7}}{{Rx,Tx}}PauseDuration
-        Pfc{{0-7}}{{Rx,Tx}}PauseDurationUs
-        Pfc{{0-7}}On2OffRxPkts
-        Dot3Stats{{AlignmentErrors,FcsErrors,SingleCollisionFrames,MultipleCollisionFrames}}
-        Dot3Stats{{SqeTestErrors,DeferredTransmissions,LateCollisions,ExcessiveCollisions}}
-        Dot3Stats{{InternalMacTransmitErrors,CarrierSenseErrors,FrameTooLongs}}
-        Dot3Stats{{InternalMacReceiveErrors,SymbolErrors}}
-        Dot3ControlInUnknownOpcodes
-        Eee{{Tx,Rx}}EventCount
-        Eee{{Tx,Rx}}Duration
-        PrbsErrorCount
-        IfInFec{{CorrectableFrames,NotCorrectableFrames,SymbolErrors}}
-        If{{In,Out}}FabricDataUnits
-        IfInFecCodewordErrorsS{{0-16}}
-        IfInFecCorrectedBits
-        {{,Dropped,Tx}}TrimPackets
-    """,
-    21: """
-        {,Dropped}{Packets,Bytes}
-        {Green,Yellow,Red}{,Dropped}{Packets,Bytes}
-        {Green,Yellow,Red,}WredDropped{Packets,Bytes}
-        {,Shared}{CurrOccupancy,Watermark}Bytes
-        {Green,Yellow,Red,}WredEcnMarked{Packets,Bytes}
-        {CurrOccupancy,Watermark}Level
-        CreditWdDeletedPackets
-        DelayWatermarkNs
-        TrimPackets
-        {,Shared}{CurrOccupancy,Watermark}Cells
-        {Dropped,Tx}TrimPackets
-    """,
-    24: """
-        {CurrOccupancy,Watermark}Bytes
-        DroppedPackets
-        {Green,Yellow,Red,}WredDropped{Packets,Bytes}
-        {Green,Yellow,Red,}WredEcnMarked{Packets,Bytes}
-        XoffRoom{CurrOccupancy,Watermark}Bytes
-        XoffRoom{CurrOccupancy,Watermark}Cells
-        {CurrOccupancy,Watermark}Cells
-    """,
-    26: """
-        {Packets,Bytes}
-        {,Shared,XoffRoom}{CurrOccupancy,Watermark}Bytes
-        DroppedPackets
-        {,Shared,XoffRoom}{CurrOccupancy,Watermark}Cells
-    """,
-}
+# The statistic names of each counter type, one row each.
+STATISTICS = Path(__file__).with_name("port_statistics.csv")
 
 
-def _alternatives(group: str) -> list[str]:
-    bounds = re.fullmatch(r"(\d+)-(\d+)", group)
-    if bounds:
-        return [str(i) for i in range(int(bounds[1]), int(bounds[2]) + 1)]
-    return group.split(",")
-
-
-def _expand(pattern: str) -> list[str]:
-    parts = re.split(r"\{(.*?)\}", pattern)
-    choices = [_alternatives(p) if i % 2 else [p] for i, p in enumerate(parts)]
-    return ["".join(choice) for choice in product(*choices)]
-
-
-def stat_rows() -> list[tuple[int, int, str]]:
-    """(type_id, stat_id, stat_name), ids counted up per type."""
-    return [
-        (type_id, stat_id, name)
-        for type_id, patterns in _STATISTICS.items()
-        for stat_id, name in enumerate(n for p in patterns.split() for n in _expand(p))
-    ]
+def stat_rows(path: Path = STATISTICS) -> list[tuple[int, int, str]]:
+    """(type_id, stat_id, stat_name) as the file lists them."""
+    with path.open(newline="") as file:
+        return [(int(r["type_id"]), int(r["stat_id"]), r["stat_name"]) for r in csv.DictReader(file)]
 
 
 def values_sql(rows: list[tuple]) -> str:

@@ -19,9 +19,9 @@ def query(spark: SparkSession, sql: str, limit: int = DEFAULT_LIMIT) -> DataFram
     """
     text = sql.strip().rstrip(";")
     if not text:
-        raise ValueError("Missing 'sql' parameter")
+        raise ValueError("the statement is empty")
     if text.split()[0].upper() not in ("SELECT", "WITH"):
-        raise ValueError("Only SELECT queries are allowed")
+        raise ValueError("the statement must start with SELECT or WITH")
     return spark.sql(f"SELECT * FROM (\n{text}\n)").limit(limit)
 
 

@@ -68,6 +68,6 @@ class IngestRateLog(StreamingQueryListener):
             return
         self.reports.append((new, new / elapsed))
         log.info(
-            "%d total rows, %d new in %.1fs (%.0f rows/s)", self.total, new, elapsed, new / elapsed
+            "rate %.0f/s over %.1f s: %d points since the last report, %d in all", new / elapsed, elapsed, new, self.total
         )
         self.reported, self.since = self.total, now

@@ -177,12 +177,22 @@ def test_cap(make_points, max_rows, batch, expected):
 
 @pytest.mark.parametrize("n", [1, 9, 10, 11, 57, 100, 150, 1000])
 def test_large_head_and_tail_without_sorting(spark, monkeypatch, n):
-    monkeypatch.setattr(extracts, "_TOP_K", 0)
     monkeypatch.setattr(extracts, "_BLOCK_BITS", 3)
     ids = sorted({i * 3 + (i % 7) for i in range(150)})
     points = spark.createDataFrame([(i,) for i in ids], "id bigint").repartition(4)
-    assert sorted(r.id for r in extracts.head(points, n).collect()) == ids[:n]
-    assert sorted(r.id for r in extracts.tail(points, n).collect()) == ids[-n:]
+    assert [r.id for r in extracts.head(points, n).collect()] == ids[:n]
+    assert [r.id for r in extracts.tail(points, n).collect()] == ids[-n:][::-1]
+
+
+@pytest.mark.parametrize("type_id, first, last", [
+    (1, (0, "IfInOctets"), (203, "TxTrimPackets")),
+    (21, (0, "Packets"), (46, "TxTrimPackets")),
+    (24, (0, "CurrOccupancyBytes"), (24, "WatermarkCells")),
+    (26, (0, "Packets"), (14, "XoffRoomWatermarkCells")),
+])
+def test_statistic_names(type_id, first, last):
+    own = [r[1:] for r in stat_rows() if r[0] == type_id]
+    assert (own[0], own[-1]) == (first, last) and [i for i, _ in own] == list(range(len(own)))
 
 
 def test_histogram_arrays(make_points):
