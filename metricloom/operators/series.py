@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import time
 from datetime import timedelta
@@ -20,7 +21,7 @@ from ..functions.numbers import fmt_f64_sql, json_seconds_sql
 from ..functions.text import sanitize_metric_sql
 from ..schema import METRIC_TYPES
 from ..sources.scratch import written
-from .filters import above, mentions
+from .filters import above, mentions, time_range
 from .samples import SERIES, raw_samples
 
 _TYPE_LIST = "array(" + ", ".join(quote(t) for t in METRIC_TYPES) + ")"
@@ -178,30 +179,70 @@ def _spread_over_series(
     return labelled.drop(column).join(per_series, SERIES)
 
 
-def _first_kept(
-    raw: DataFrame,
-    retention: float | None,
+_TEXT = ["series_name", "attrs"]
+
+
+def _nanos(seconds: float, after: bool = False) -> int:
+    """Nanoseconds at or before ``seconds`` (``after``: at or after it), by the rounding of a double.
+
+    A sample's seconds are a rounded quotient, so the exact test stays beside
+    this one, which is a whole number and reaches the Parquet statistics.
+    """
+    if not math.isfinite(seconds):
+        return (1 << 63) - 1 if seconds > 0 else -(1 << 63)
+    slack = int(abs(seconds) * 1e9 * 2.0**-50) + 1
+    bound = math.ceil(seconds * 1e9) + slack if after else math.floor(seconds * 1e9) - slack
+    return max(-(1 << 63), min((1 << 63) - 1, bound))
+
+
+def _cutoff_of(
+    retention: float | timedelta | None,
+    as_of: float | None,
     cutoff: float | None,
     arrival: str | None,
-    labels: dict[str, str] | None,
+) -> tuple[float | None, float | None]:
+    """(retention, cutoff) in seconds; no cutoff means one per series, by ``arrival``."""
+    if isinstance(retention, timedelta):
+        retention = retention.total_seconds()
+    if retention is None and (arrival or cutoff is None):
+        raise ValueError("give retention or cutoff")
+    if arrival:
+        return float(retention), None
+    if cutoff is None:
+        cutoff = (time.time() if as_of is None else as_of) - retention
+    return retention, float(cutoff)
+
+
+def _first_fresh(
+    points: DataFrame, cutoff: float, labels: dict[str, str] | None
+) -> DataFrame:
+    """(series_name, labels, first_kept) of the series with a sample at or after ``cutoff``.
+
+    Only fresh rows are read: what a series keeps starts at one of them.
+    """
+    fresh = raw_samples(time_range(points, _nanos(cutoff))).where(F.col("timestamp") >= cutoff)
+    per_attrs = fresh.groupBy(*_TEXT).agg(
+        F.min("id").alias("first_kept"), F.count("*").alias("rows")
+    )
+    labelled = _with_labels(per_attrs, "rows > 0", labels)
+    return labelled.groupBy(*SERIES).agg(F.min("first_kept").alias("first_kept"))
+
+
+def _first_kept_by_arrival(
+    raw: DataFrame, retention: float, arrival: str, labels: dict[str, str] | None
 ) -> DataFrame:
     """(series_name, attrs, labels, first_kept) of the texts whose series keep samples."""
-    key = ["series_name", "attrs"]
-    if arrival:
-        last_seen = raw.groupBy(*key).agg(
-            F.max(arrival).alias("seen"), F.count("*").alias("rows")
-        )
-        cutoffs = _spread_over_series(last_seen, "seen", F.max, labels).select(
-            *key, (F.col("seen") - F.lit(retention)).alias("cutoff")
-        )
-        raw = raw.join(written(cutoffs), key)
-        is_fresh = F.col("timestamp") >= F.col("cutoff")
-    else:
-        is_fresh = F.col("timestamp") >= F.lit(cutoff)
+    last_seen = raw.groupBy(*_TEXT).agg(F.max(arrival).alias("seen"), F.count("*").alias("rows"))
+    cutoffs = _spread_over_series(last_seen, "seen", F.max, labels).select(
+        *_TEXT, (F.col("seen") - F.lit(retention)).alias("cutoff")
+    )
+    is_fresh = F.col("timestamp") >= F.col("cutoff")
     # A text without a fresh sample of its own may belong to a series that has
     # one, so every text stays in, with NULL.
-    per_attrs = raw.groupBy(*key).agg(
-        F.min(F.when(is_fresh, F.col("id"))).alias("first_kept"), F.count("*").alias("rows")
+    per_attrs = (
+        raw.join(written(cutoffs), _TEXT)
+        .groupBy(*_TEXT)
+        .agg(F.min(F.when(is_fresh, F.col("id"))).alias("first_kept"), F.count("*").alias("rows"))
     )
     spread = _spread_over_series(per_attrs, "first_kept", F.min, labels)
     return spread.where("first_kept IS NOT NULL")
@@ -225,37 +266,44 @@ def series_history(
     seconds, each series' own last arrival minus ``retention``. ``name`` and
     ``labels`` select series.
 
-    Two passes over the points: the per-series first kept id (a hash aggregation
-    with map-side combine, so one hot series is no hot task), written as a small
-    scratch table, then a join that keeps ids from there on. No per-series sort
-    and no collected lists. With ``arrival`` one more aggregation finds the
-    cutoffs.
+    The first kept id of each series comes from a hash aggregation over fresh
+    rows alone (map-side combine, so one hot series is no hot task) and is
+    written as a small scratch table. Its least id bounds the scan of the second
+    pass, whose distinct texts are joined to their series and then to the rows.
+    No per-series sort and no collected lists. With ``arrival`` the cutoffs
+    differ by series, so both passes read all rows.
     """
     return _history(points, retention, as_of, cutoff, arrival, name, labels)
 
 
-def _history(points, retention, as_of, cutoff, arrival, name, labels, *described: Column):
-    """``series_history`` with further columns computed once per text."""
-    if isinstance(retention, timedelta):
-        retention = retention.total_seconds()
-    if retention is None and (arrival or cutoff is None):
-        raise ValueError("give retention or cutoff")
-    if cutoff is None and not arrival:
-        cutoff = (time.time() if as_of is None else as_of) - retention
-    raw = raw_samples(
-        _narrow_points(points, name, labels), keep=[arrival] if arrival else None
-    )
-    kept = _first_kept(
-        raw,
-        None if retention is None else float(retention),
-        None if cutoff is None else float(cutoff),
-        arrival,
-        labels,
-    )
+def _history(
+    points, retention, as_of, cutoff, arrival, name, labels, *described: Column, window=None
+):
+    """``series_history`` with further columns computed once per text.
+
+    ``window`` (start, end in seconds) says which of the kept samples are needed.
+    """
+    retention, cutoff = _cutoff_of(retention, as_of, cutoff, arrival)
+    narrow = _narrow_points(points, name, labels)
+    wanted = narrow
+    if window:
+        wanted = time_range(narrow, _nanos(window[0]), _nanos(window[1], after=True))
+    if arrival:
+        kept = _first_kept_by_arrival(
+            raw_samples(narrow, keep=[arrival]), retention, arrival, labels
+        )
+    else:
+        starts = written(select_series(_first_fresh(narrow, cutoff, labels), name))
+        wanted = wanted.where(F.col("id") >= starts.agg(F.min("first_kept")).scalar())
+        texts = raw_samples(wanted).groupBy(*_TEXT).agg(F.count("*").alias("rows"))
+        kept = _with_labels(texts, "rows > 0", labels).drop("rows").join(starts, SERIES)
     kept = written(select_series(kept, name).select("*", *described))
     extra = [c for c in kept.columns if c not in ("series_name", "attrs", "labels", "first_kept")]
+    raw = raw_samples(wanted)
+    if window:
+        raw = raw.where(F.col("timestamp").between(*window))
     return (
-        raw.join(kept, ["series_name", "attrs"])
+        raw.join(kept, _TEXT)
         .where("id >= first_kept")
         .select("id", *SERIES, "timestamp", "value", "metric_type", *extra)
     )
@@ -293,12 +341,20 @@ def label_names(points: DataFrame) -> DataFrame:
 # --- results -----------------------------------------------------------------
 
 
-def exposition(points: DataFrame) -> DataFrame:
+def exposition(
+    points: DataFrame,
+    retention: float | timedelta | None = None,
+    as_of: float | None = None,
+    cutoff: float | None = None,
+    arrival: str | None = None,
+) -> DataFrame:
     """Text exposition as ordered rows ``line``: a TYPE line per name, then its series.
 
     Names that sanitise alike stay separate groups. Within a name, series are
     ordered by labels, and the TYPE line follows the series that arrived first.
-    The latest samples feed both kinds of line, so they are written once.
+    The latest samples feed both kinds of line, so they are written once. With
+    ``retention`` or ``cutoff`` (see ``series_history``) a series that holds no
+    sample any more has no line; its name's TYPE line stays.
     """
     latest = written(latest_per_series(points))
     headers = (
@@ -314,7 +370,8 @@ def exposition(points: DataFrame) -> DataFrame:
             ).alias("line"),
         )
     )
-    lines = latest.select(
+    shown = _only_retained(latest, points, retention, as_of, cutoff, arrival)
+    lines = shown.select(
         "series_name",
         F.lit(1).alias("part"),
         "labels",
@@ -340,15 +397,41 @@ def _result(df: DataFrame, *leading: str) -> DataFrame:
     )
 
 
+def _only_retained(latest, points, retention, as_of, cutoff, arrival, name=None, labels=None):
+    """Rows of ``latest`` whose series still hold a sample; all without retention or cutoff.
+
+    What a series keeps ends in its latest sample, so the value is the same.
+    """
+    if retention is None and cutoff is None:
+        return latest
+    retention, cutoff = _cutoff_of(retention, as_of, cutoff, arrival)
+    narrow = _narrow_points(points, name, labels)
+    if arrival:
+        raw = raw_samples(narrow, keep=[arrival])
+        alive = _first_kept_by_arrival(raw, retention, arrival, labels)
+    else:
+        alive = _first_fresh(narrow, cutoff, labels)
+    return latest.join(alive.select(*SERIES).distinct(), SERIES, "left_semi")
+
+
 def instant(
-    points: DataFrame, name: str | None = None, labels: dict[str, str] | None = None
+    points: DataFrame,
+    name: str | None = None,
+    labels: dict[str, str] | None = None,
+    retention: float | timedelta | None = None,
+    as_of: float | None = None,
+    cutoff: float | None = None,
+    arrival: str | None = None,
 ) -> DataFrame:
     """Latest sample of each selected series.
 
     Besides the plain columns, ``metric`` is the JSON label map and ``point``
-    the JSON pair ``[seconds,"value"]``.
+    the JSON pair ``[seconds,"value"]``. With ``retention`` or ``cutoff`` (see
+    ``series_history``) a series that holds no sample any more has no row.
     """
-    return _result(latest_per_series(points, name, labels).select("*", *_described()))
+    latest = latest_per_series(points, name, labels)
+    latest = _only_retained(latest, points, retention, as_of, cutoff, arrival, name, labels)
+    return _result(latest.select("*", *_described()))
 
 
 def range_(
@@ -373,9 +456,11 @@ def range_(
     """
     if retention is None and cutoff is None:
         return instant(points, name, labels)
-    end = time.time() if end is None else end
-    kept = _history(points, retention, as_of, cutoff, arrival, name, labels, *_described())
-    return _result(kept.where(F.col("timestamp").between(start, end)), "id")
+    window = (float(start), time.time() if end is None else float(end))
+    kept = _history(
+        points, retention, as_of, cutoff, arrival, name, labels, *_described(), window=window
+    )
+    return _result(kept, "id")
 
 
 def envelope(result: DataFrame, result_type: str) -> DataFrame:

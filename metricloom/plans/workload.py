@@ -387,6 +387,14 @@ SELECTION = {"name": "app.view", "labels": {"host_name": "node-1"}}
 RANGE = (1_704_500_000.0, 1_705_500_000.0)
 
 
+# Late enough that some series hold no sample any more.
+LATE_CUTOFF = 1_706_656_000
+RETAINED = (
+    "(series_name, labels) IN (SELECT (series_name, labels) FROM samples"
+    f" WHERE timestamp >= {LATE_CUTOFF})"
+)
+
+
 def _named_result(df: DataFrame) -> DataFrame:
     return _with_label_text(df.drop("series_name"))
 
@@ -396,6 +404,26 @@ def series_instant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named_result(series.instant(points(spark, sf_dir), **SELECTION))
 
 
+@_register(
+    RESULT_SQL.format(id="", source="latest", more=f" AND {RETAINED}"),
+    POINTS, SAMPLES, LATEST,
+)
+def series_instant_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _named_result(
+        series.instant(points(spark, sf_dir), **SELECTION, cutoff=LATE_CUTOFF)
+    )
+
+
+@_register(
+    f"SELECT '# TYPE ' || {SANITIZED} || ' ' || {PROM_TYPE} AS line FROM (SELECT series_name,"
+    " arg_min(metric_type, first_id) AS metric_type FROM latest GROUP BY series_name)"
+    f" UNION ALL SELECT {SANITIZED} || labels || ' ' || {NUMBER} FROM latest WHERE {RETAINED}",
+    POINTS, SAMPLES, LATEST,
+)
+def series_exposition_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return series.exposition(points(spark, sf_dir), cutoff=LATE_CUTOFF)
+
+
 @_register(
     RESULT_SQL.format(
         id="id, ", source="history", more=f" AND timestamp BETWEEN {RANGE[0]} AND {RANGE[1]}"

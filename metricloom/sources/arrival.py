@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 # Columns read_otlp adds so that arrival order survives the scheduling of files.
 SPLIT_COLUMNS = ["_file_time", "_file", "_block"]
-_BROADCAST_SPLITS = 200_000
 
 
 @contextmanager
@@ -25,8 +25,8 @@ def arrival_ids(points: DataFrame, base: int = 0) -> Iterator[tuple[DataFrame, i
     per input split, a second adds each split's start. Keeping them pins the
     partitioning, so both passes agree even when a lost executor's part is
     computed again. One count per input split comes to the driver, which tracks
-    every split as a task anyway; the starts are broadcast up to a fixed number
-    of splits and joined by shuffle beyond it.
+    every split as a task anyway; the starts are broadcast if their bytes are
+    under Spark's threshold and joined by shuffle beyond it.
     """
     spark = points.sparkSession
     key = [c for c in SPLIT_COLUMNS if c in points.columns]
@@ -41,11 +41,16 @@ def arrival_ids(points: DataFrame, base: int = 0) -> Iterator[tuple[DataFrame, i
         for split in sorted(counts.collect(), key=lambda r: tuple(r[k] for k in key)):
             rows.append((*[split[k] for k in key], start - split["first"] + 1))
             start += split["n"]
-        types = {f.name: f.dataType.simpleString() for f in numbered.schema}
-        schema = ", ".join(f"`{k}` {types[k]}" for k in key)
-        starts = spark.createDataFrame(rows, f"{schema}, _shift bigint")
-        if len(rows) <= _BROADCAST_SPLITS:
-            starts = F.broadcast(starts)
+        # As an Arrow table the starts have a size the optimizer knows, and it
+        # broadcasts them under its own threshold or shuffles.
+        fields = [(k, pa.string() if k == "_file" else pa.int64()) for k in key]
+        columns = zip(*rows, strict=True) if rows else [[] for _ in range(len(key) + 1)]
+        starts = spark.createDataFrame(
+            pa.table(
+                [pa.array(c, t) for c, (_, t) in zip(columns, [*fields, ("", pa.int64())], strict=True)],
+                names=[*key, "_shift"],
+            )
+        )
         with_ids = (
             numbered.join(starts, key)
             .withColumn("id", F.col("_seq") + F.col("_shift"))

@@ -7,7 +7,7 @@ import logging
 import threading
 from collections.abc import Callable
 
-from pyspark.errors import PySparkException
+from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -42,6 +42,10 @@ def start(
     return writer.trigger(processingTime=processing_time).start()
 
 
+class CapReached(Exception):
+    """A batch came after the one that reached ``max_rows``; it stays uncommitted."""
+
+
 class Ingest:
     """The sinks of one ingest stream.
 
@@ -52,9 +56,10 @@ class Ingest:
     JSON-lines failure is logged and does not fail the batch; any other does,
     and the batch is tried again on restart.
 
-    ``max_rows`` stops the stream after the batch that reaches it; what the
-    source delivers until the stop takes effect is not written. 0 is no cap.
-    Numbering rows needs the table to itself: one ingest at a time.
+    ``max_rows`` stops the stream after the batch that reaches it. A batch that
+    comes before the stop takes effect fails with ``CapReached``, so it is not
+    committed and a restart writes it; ``wait`` takes that for a normal stop.
+    0 is no cap. Numbering rows needs the table to itself: one ingest at a time.
     """
 
     def __init__(
@@ -113,7 +118,7 @@ class Ingest:
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         if self.full.is_set():
-            return
+            raise CapReached(f"{self.total} rows reached the cap of {self.max_rows}")
         if "id" in batch.columns:
             kept = batch.persist()
             try:
@@ -149,6 +154,15 @@ class Ingest:
                 log.exception("JSON lines of batch %d not written", batch_id)
         self.total += rows
 
+    def wait(self, timeout: int | None = None) -> bool | None:
+        """``awaitTermination`` of the query, for which reaching the cap is no failure."""
+        try:
+            return self.query.awaitTermination(timeout)
+        except StreamingQueryException as error:
+            if not self.full.is_set() or CapReached.__name__ not in str(error):
+                raise
+            return True
+
     def _stop_when_full(self) -> None:
         while self.query is not None and self.query.isActive:
             if self.full.wait(0.2):

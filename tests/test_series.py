@@ -6,6 +6,7 @@ from collections import defaultdict, deque
 from datetime import timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from metricloom.operators import series
 from metricloom.operators.samples import to_samples
@@ -167,6 +168,44 @@ def test_range_with_history(make_points):
     assert json.loads(element.result)["metric"] == {"__name__": "t"}
 
 
+def test_evicted_series_has_no_value(make_points):
+    rows = [
+        gauge("t", 1.0, '{"h":"old"}', ts=10 * S), gauge("t", 2.0, '{"h":"new"}', ts=50 * S),
+        gauge("gone", 3.0, ts=20 * S), gauge("t", 4.0, '{"h":"new"}', ts=5 * S),
+    ]
+    points = make_points(rows)
+    assert [r.value for r in series.instant(points, cutoff=50.0).collect()] == [4.0]
+    assert series.instant(points, retention=5.0, as_of=60.0).count() == 0
+    assert series.instant(points).count() == 3
+    lines = [r.line for r in series.exposition(points, cutoff=50.0).collect()]
+    assert lines == ["# TYPE gone gauge", "# TYPE t gauge", 't{h="new"} 4']
+    late = points.withColumn("seen", F.expr("CASE WHEN metric_name = 't' THEN 60.0D ELSE 21.0D END"))
+    kept = series.instant(late, retention=10.0, arrival="seen").collect()
+    assert sorted(r.value for r in kept) == [3.0, 4.0]
+
+
+def test_history_and_range_bounds_reach_the_scan(spark, make_points, tmp_path):
+    make_points([gauge("t", v, ts=int(v) * S) for v in (10.0, 20.0, 30.0)]).write.parquet(
+        str(tmp_path / "p")
+    )
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    found = series.range_(stored, "t", start=15.0, end=25.0, cutoff=5.0)
+    plan = found._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    assert "GreaterThanOrEqual(timestamp_ns" in plan and "LessThanOrEqual(timestamp_ns" in plan
+    assert [r.value for r in found.collect()] == [20.0]
+
+
+@pytest.mark.parametrize("seconds", [0.0, -1.5, 1.7e9, 1_705_000_000.123456, 9.2e9])
+def test_whole_bounds_hold_every_sample(seconds):
+    for ns in range(int(seconds * 1e9) - 600, int(seconds * 1e9) + 600, 7):
+        if ns / 1e9 >= seconds:
+            assert ns >= series._nanos(seconds)
+        if ns / 1e9 <= seconds:
+            assert ns <= series._nanos(seconds, after=True)
+
+
 def replay(rows, cutoff_of):
     """The store's eviction, sample by sample."""
     queues = defaultdict(deque)

@@ -11,7 +11,7 @@ from metricloom.operators import series
 from metricloom.schema import METRIC_SCHEMA
 from metricloom.sources import jsonl, points as tables
 from metricloom.sources.otlp import read_otlp
-from metricloom.streaming.ingest import BATCH_ID_BITS, Ingest, read_series, run_ingest
+from metricloom.streaming.ingest import BATCH_ID_BITS, CapReached, Ingest, read_series, run_ingest
 from metricloom.streaming.latest import read_latest, run_latest
 from metricloom.streaming.rate import IngestRateLog, ingest_rate
 
@@ -104,9 +104,15 @@ def test_row_cap_stops_at_a_batch_boundary(spark, incoming, tmp_path):
     paths = sinks(tmp_path)
     ingest = Ingest(str(tmp_path / "cp"), table=paths["table"], max_rows=15)
     query = ingest.run(requests(spark, incoming), processing_time="0 seconds")
-    query.awaitTermination(60)
+    ingest.wait(60)
     assert not query.isActive
     assert tables.read_points(spark, paths["table"]).count() == 20
+    # A batch past the cap fails, so nothing unwritten is committed, and a restart finds all rows.
+    with pytest.raises(CapReached):
+        ingest.write(spark.range(1), 99)
+    again = Ingest(str(tmp_path / "cp"), table=paths["table"])
+    again.run(requests(spark, incoming), available_now=True).awaitTermination()
+    assert tables.read_points(spark, paths["table"]).count() == 40
 
 
 def test_jsonl_failure_does_not_fail_the_batch(spark, make_points, tmp_path, caplog):
