@@ -42,6 +42,11 @@ def start(
     return writer.trigger(processingTime=processing_time).start()
 
 
+def stream_name(checkpoint: str) -> str:
+    """Folder name of a stream; the letter keeps partition discovery from reading it as a number."""
+    return "s" + hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+
 class CapReached(Exception):
     """A batch came after the one that reached ``max_rows``; it stays uncommitted."""
 
@@ -73,8 +78,7 @@ class Ingest:
     ):
         self.checkpoint, self.table, self.jsonl, self.series = checkpoint, table, jsonl, series
         self.max_rows, self.on_batch = max_rows, on_batch
-        # The letter keeps partition discovery from reading the name as a number.
-        self.stream_name = "s" + hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+        self.stream_name = stream_name(checkpoint)
         self.total = 0
         self.full = threading.Event()
         self.query: StreamingQuery | None = None

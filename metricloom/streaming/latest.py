@@ -7,7 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.samples import SERIES
 from ..operators.series import latest_per_series
-from .ingest import start
+from ..sources.points import batch_folder
+from .ingest import start, stream_name
 
 _COLUMNS = ["timestamp", "value", "metric_type", "first_id", "last_id"]
 
@@ -16,18 +17,31 @@ def run_latest(points: DataFrame, path: str, checkpoint: str, **trigger) -> Stre
     """Keep series state in the stream and write each batch's changed series.
 
     No watermark: the state holds one row of primitives per series and late
-    arrivals must still count. Batches overwrite their own folder, so a
-    repeated batch changes nothing.
+    arrivals must still count. Batches overwrite their own folder, below a name
+    derived from the checkpoint, so a repeated batch changes nothing and
+    streams can share ``path``.
     """
+    name = stream_name(checkpoint)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(batch_folder(path, name, batch_id))
 
     return start(latest_per_series(points), write, checkpoint, "update", **trigger)
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The state as of the last batch: per series, its most recent change."""
+    """The state as of the last batch: per stream and series its most recent change.
+
+    Of streams that share a series, the one with the last arrival gives its
+    value and the one with the first arrival its type.
+    """
     changes = spark.read.option("basePath", path).parquet(path)
     newest = [F.max_by(c, "batch_id").alias(c) for c in _COLUMNS]
-    return changes.groupBy(*SERIES).agg(*newest)
+    per_stream = changes.groupBy("stream", *SERIES).agg(*newest)
+    return per_stream.groupBy(*SERIES).agg(
+        F.max_by("timestamp", "last_id").alias("timestamp"),
+        F.max_by("value", "last_id").alias("value"),
+        F.min_by("metric_type", "first_id").alias("metric_type"),
+        F.min("first_id").alias("first_id"),
+        F.max("last_id").alias("last_id"),
+    )

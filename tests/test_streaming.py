@@ -165,6 +165,19 @@ def test_stream_latest_equals_batch(spark, make_points, tmp_path):
     assert live == sorted(map(key, series.latest_per_series(points).collect()))
 
 
+def test_streams_share_a_path_for_latest(spark, make_points, tmp_path):
+    points = make_points(
+        [{"metric_name": f"m{i % 3}", "timestamp_ns": i * S, "value_double": float(i)} for i in range(8)]
+    )
+    out = str(tmp_path / "out")
+    for tag, part in (("a", points.where("id <= 5")), ("b", points.where("id > 5"))):
+        stream = point_stream(spark, part, str(tmp_path / tag), files=1)
+        run_latest(stream, out, str(tmp_path / f"cp-{tag}"), available_now=True).awaitTermination()
+    columns = ["series_name", "value", "first_id", "last_id"]
+    live = sorted(map(tuple, read_latest(spark, out).select(columns).collect()))
+    assert live == sorted(map(tuple, series.latest_per_series(points).select(columns).collect()))
+
+
 def test_stream_rate(spark, make_points, tmp_path):
     points = make_points(
         [{"metric_name": "m", "timestamp_ns": t * S} for t in (0, 1, 4, 5, 11, 12, 13, 14)]
