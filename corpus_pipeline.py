@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts that are linked as in op7: 0.9 of their three-word shingles.
+    """One row of each group of texts that are alike in 0.8 or more of their five-word shingles.
 
     The row with the group's least doc_id stays, of several the one of least
     digest; a row that repeats another's doc_id and text is its copy. Rows
@@ -28,7 +28,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     tagged = docs.withColumn("digest", digest)
     groups = jaccard_join.jaccard_components(
-        tagged.select(F.struct("doc_id", "digest").alias("key"), "text"), "key", "text", shingle=3, threshold=90
+        tagged.select(F.struct("doc_id", "digest").alias("key"), "text"), "key", "text", shingle=5, threshold=80
     )
     kept = groups.where("component_id <=> key").select(
         F.col("key.doc_id").alias("kept_id"), F.col("key.digest").alias("kept_digest")
