@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 
 from metricloom.llm.batches import text_slices
 from metricloom.llm.words import blocks, grams, window_hashes
+from metricloom.sources.scratch import written
 
 #: Words of the shortest tile, and of a seed.
 LEAST_TILE = 5
-#: Seeds are the least hash of so many neighbouring runs, so a match of
-#: LEAST_TILE + SPARSE - 1 words always shares one.
-SPARSE = 4
+#: Bits, as a power of two, of the map of the tests' seeds by which texts drop theirs before the join.
+#: With very many tests more seeds pass it; none is lost.
+MAP_BITS = 26
+_CHUNK = 32768
 #: Share of a test's words that tiles must cover.
 COVERAGE = 0.5
 _FIRST_LENGTH = 20
@@ -29,27 +31,23 @@ def word_hashes(texts: pa.Array) -> Iterator[np.ndarray]:
             yield words.hash[words.first[i] : words.first[i + 1]]
 
 
-def seeds(texts: pa.Array, k: int = LEAST_TILE) -> Iterator[np.ndarray]:
-    """Distinct minimizers of each text's runs of ``k`` words."""
+def seeds(
+    texts: pa.Array, k: int = LEAST_TILE, wanted: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct hashes of each text's runs of ``k`` words, and how often each occurs.
+
+    With ``wanted``, a map of bits, only those whose bit is set.
+    """
     for words in blocks(texts, lower=True, marks=True):
         hashes, at = grams(words, k)
         doc = words.doc[at]
-        chosen = np.zeros(len(hashes), bool)
-        n = len(hashes) - SPARSE + 1
-        if n > 0:
-            least = hashes[:n].copy()
-            for j in range(1, SPARSE):
-                np.minimum(least, hashes[j : n + j], out=least)
-            whole = doc[:n] == doc[SPARSE - 1 :]
-            for j in range(SPARSE):
-                chosen[j : n + j] |= whole & (hashes[j : n + j] == least)
-        # Texts with fewer runs than a window keep all.
-        count = np.bincount(doc, minlength=len(words.first) - 1)
-        chosen |= count[doc] < SPARSE
-        ends = np.r_[0, np.cumsum(count)]
-        for i in range(len(count)):
-            own = slice(ends[i], ends[i + 1])
-            yield np.unique(hashes[own][chosen[own]])
+        if wanted is not None:
+            place = hashes >> np.uint64(64 - MAP_BITS)
+            held = (wanted[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            hashes, doc = hashes[held], doc[held]
+        ends = np.searchsorted(doc, np.arange(len(words.first)))
+        for i in range(len(words.first) - 1):
+            yield np.unique(hashes[ends[i] : ends[i + 1]], return_counts=True)
 
 
 def tile(test: np.ndarray, text: np.ndarray, least: int = LEAST_TILE) -> list[tuple[int, int, int]]:
@@ -109,17 +107,41 @@ def _matches(test, text, marked, length) -> tuple[list[tuple[int, int, int]], in
     return found, longest
 
 
-def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
-        own = list(seeds(batch.column("text")))
-        rows = np.repeat(np.arange(len(own)), [len(x) for x in own])
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("key").take(pa.array(rows)),
-                pa.array(np.concatenate(own).view(np.int64) if own else np.zeros(0, np.int64)),
-            ],
-            names=["key", "seed"],
-        )
+def _seed_rows(wanted=None):
+    """Rows ``(key, seed, n, runs)``, the last all runs of the text; ``wanted`` is a broadcast map of bits or None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if wanted is None else np.frombuffer(wanted.value, np.uint8)
+        for batch in text_slices(batches):
+            own = list(seeds(batch.column("text"), wanted=bits))
+            rows = np.repeat(np.arange(len(own)), [len(x) for x, _ in own])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key").take(pa.array(rows)),
+                    pa.array(np.concatenate([x for x, _ in own]).view(np.int64) if own else np.zeros(0, np.int64)),
+                    pa.array(np.concatenate([n for _, n in own]) if own else np.zeros(0, np.int64)),
+                    pa.array(np.repeat([n.sum() for _, n in own], [len(n) for _, n in own]).astype(np.int64)),
+                ],
+                names=["key", "seed", "n", "runs"],
+            )
+
+    return run
+
+
+def _bit_map(found: DataFrame) -> bytes:
+    """A bit for the leading ``MAP_BITS`` bits of each seed of ``found``, gathered in chunks of set size."""
+    place = F.shiftrightunsigned("seed", 64 - MAP_BITS)
+    chunks = (
+        found.select(F.floor(place / _CHUNK).alias("chunk"), (place % _CHUNK).alias("bit"))
+        .groupBy("chunk")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+        .collect()
+    )
+    out = bytearray((1 << MAP_BITS) // 8)
+    size = _CHUNK // 8
+    for r in chunks:
+        out[r["chunk"] * size : (r["chunk"] + 1) * size] = r["bits"]
+    return bytes(out)
 
 
 def find_leaks(
@@ -135,19 +157,28 @@ def find_leaks(
 
     A row for each row of ``docs`` and test of which tiles of ``LEAST_TILE``
     words or more cover ``coverage`` of the test's words, in whatever order the
-    pieces stand. Pairs are found by an equi-join of seeds (small test sets are
-    broadcast by their measured size, larger ones shuffled), so no pair without
-    a common run is looked at; a match of eight words is always found. Words are
-    compared in lower case and without marks. Null texts and tests, and tests of
+    pieces stand. Pairs are found by an equi-join of all runs of ``LEAST_TILE``
+    words (small test sets are broadcast by their measured size, larger ones
+    shuffled with those runs of the texts whose bit the tests set), so no pair
+    with a tile is missed. A tile of w words holds w - LEAST_TILE + 1 runs, so
+    pairs whose common runs cannot cover enough are left out. Words are compared in lower case and without marks. Null texts and tests, and tests of
     fewer than ``LEAST_TILE`` words, match nothing; repeated rows each give
     theirs; other columns are not looked at.
     """
     rows = docs.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text"))
     items = tests.select(F.col(test_key).alias("key"), F.lower(F.col(test_text)).alias("text"))
     kinds = [x.schema["key"].dataType.simpleString() for x in (rows, items)]
-    mine = rows.mapInArrow(_seed_rows, f"key {kinds[0]}, seed long")
-    theirs = items.mapInArrow(_seed_rows, f"key {kinds[1]}, seed long").distinct()
-    pairs = mine.join(theirs.withColumnRenamed("key", "test"), "seed").select("key", "test").distinct()
+    kept = "seed long, n long, runs long"
+    theirs = written(items.mapInArrow(_seed_rows(), f"key {kinds[1]}, {kept}"))
+    wanted = docs.sparkSession.sparkContext.broadcast(_bit_map(theirs))
+    mine = rows.mapInArrow(_seed_rows(wanted), f"key {kinds[0]}, {kept}").select("key", "seed")
+    pairs = (
+        mine.join(theirs.withColumnRenamed("key", "test"), "seed")
+        .groupBy("key", "test")
+        .agg(F.sum("n").alias("n"), F.min("runs").alias("runs"))
+        .where(f"{LEAST_TILE} * n + 1e-6D >= {float(coverage)!r}D * (runs + {LEAST_TILE - 1})")
+        .select("key", "test")
+    )
     named = items.select(F.col("key").alias("test"), F.col("text").alias("test_text"))
     both = (
         pairs.withColumnRenamed("key", "want")

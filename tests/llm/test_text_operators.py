@@ -202,6 +202,23 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_leaks(docs, tests.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [5, 6, 7])
+def test_every_short_tile_is_a_seed(spark, size):
+    tests, texts = [], []
+    for i in range(60):
+        item = [f"{w}x{i}" for w in some_words(100 + i, 30)]
+        pieces = [item[j : j + size] for j in range(0, 30, size)]
+        random.Random(i).shuffle(pieces)
+        # Reordered pieces of a long item, and a short item whole, each among other words.
+        spread = [w for j, p in enumerate(pieces) for w in [*some_words(1000 * i + j, 9), *p]]
+        tests += [(2 * i, " ".join(item)), (2 * i + 1, " ".join(f"{w}y" for w in item[:size]))]
+        texts += [(2 * i, " ".join(spread)), (2 * i + 1, " ".join([*BASE, *[f"{w}y" for w in item[:size]], *BASE]))]
+    tests = spark.createDataFrame(tests, "item_id long, text string")
+    texts = spark.createDataFrame(texts, "doc_id long, text string")
+    found = decontaminate.find_leaks(texts, tests).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(i, i) for i in range(120)]
+
+
 def test_chat_format(spark):
     import public_tokenizers
 
