@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,8 +56,10 @@ def tile(test: np.ndarray, text: np.ndarray, least: int = LEAST_TILE) -> list[tu
 
     Running Karp-Rabin: matches of unmarked runs of the search length are found
     by hash and extended as far as they go; the longest are marked first and
-    none overlaps another. A match longer than twice the search length restarts
-    the search there; otherwise it goes on with half the length, down to ``least``.
+    none overlaps another. What a longer tile leaves of a match takes its turn by
+    its own length. A match longer than twice the search length restarts the
+    search there; otherwise it goes on with half the length, down to ``least``,
+    after which no unmarked match of that length is left.
     """
     marked = np.zeros(len(test), bool), np.zeros(len(text), bool)
     out: list[tuple[int, int, int]] = []
@@ -66,11 +69,21 @@ def tile(test: np.ndarray, text: np.ndarray, least: int = LEAST_TILE) -> list[tu
         if longest > 2 * length:
             length = longest
             continue
-        for size, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
-            if not (marked[0][i : i + size].any() or marked[1][j : j + size].any()):
-                marked[0][i : i + size] = True
-                marked[1][j : j + size] = True
-                out.append((i, j, size))
+        heap = [(-size, i, j) for size, i, j in found]
+        heapq.heapify(heap)
+        while heap:
+            size, i, j = heapq.heappop(heap)
+            size = -size
+            taken = marked[0][i : i + size] | marked[1][j : j + size]
+            if taken.any():
+                edges = np.flatnonzero(np.diff(np.r_[True, taken, True]))
+                for at, to in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                    if to - at >= length:
+                        heapq.heappush(heap, (at - to, i + at, j + at))
+                continue
+            marked[0][i : i + size] = True
+            marked[1][j : j + size] = True
+            out.append((i, j, size))
         if length == least:
             break
         length = max(least, length // 2)

@@ -202,6 +202,26 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.find_leaks(docs, tests.limit(0)).count() == 0
 
 
+def test_rest_of_an_overlapped_match_is_tiled():
+    item = [f"w{i}" for i in range(20)]
+    pa_words = pa.array([" ".join(item), " ".join(["a", *item[:9], "b", *item[6:14], "c"])])
+    test, text = decontaminate.word_hashes(pa_words)
+    assert decontaminate.tile(test, text) == [(0, 1, 9), (9, 14, 5)]
+    # No unmarked match of five words is ever left.
+    pick = random.Random(3)
+    for _ in range(200):
+        test, text = (np.array([pick.randrange(3) for _ in range(n)], np.uint64) for n in (40, 60))
+        tiles = decontaminate.tile(test, text)
+        free = np.ones(len(test), bool), np.ones(len(text), bool)
+        for i, j, n in tiles:
+            assert (test[i : i + n] == text[j : j + n]).all() and free[0][i : i + n].all() and free[1][j : j + n].all()
+            free[0][i : i + n] = free[1][j : j + n] = False
+        for i in range(len(test) - 4):
+            for j in range(len(text) - 4):
+                if free[0][i : i + 5].all() and free[1][j : j + 5].all():
+                    assert (test[i : i + 5] != text[j : j + 5]).any()
+
+
 @pytest.mark.parametrize("size", [5, 6, 7])
 def test_every_short_tile_is_a_seed(spark, size):
     tests, texts = [], []
