@@ -103,11 +103,16 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", scope
     Strong spans always count. A weak part (an account name, an unlabelled key,
     an endpoint) counts where its complement lies within ``scope`` code points in
     the same text: an identifier with a secret, an endpoint with both. Parts are
-    joined by interval: each identifier's scope is cut into cells of its width
-    and meets the parts of those cells, so the work follows the number of parts
-    even in a text that is full of them. Null reads as empty; rows without parts
+    joined by interval, from the end of one to the start of the other: parts, and
+    identifiers and secrets with their scope, are cut into cells of its width and
+    meet there, so the work follows the number and length of parts even in a text
+    that is full of them. Null reads as empty; rows without parts
     have an empty list; repeated rows each give a row.
     """
+
+    def cells(start, stop):
+        return F.explode(F.sequence(F.floor(start / scope), F.floor(stop / scope)))
+
     base = find_parts(docs, key, text)
     parts = base.select("row", F.explode("parts").alias("p")).select("row", "p.*").distinct()
     roles = parts.withColumn(
@@ -124,23 +129,22 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", scope
         .select("row")
     )
     roles = written(roles.join(open_rows, "row", "left_semi"))
-    cells = roles.withColumn("cell", F.floor(F.col("start") / scope))
     reach = roles.select(
-        "row",
+        F.col("row").alias("near_row"),
         F.col("start").alias("near"),
+        F.col("stop").alias("near_stop"),
         "role",
-        F.explode(F.sequence(*(F.floor((F.col("start") + d) / scope) for d in (-scope, scope)))).alias("cell"),
+        cells(F.col("start") - scope, F.col("stop") + scope).alias("near_cell"),
     )
 
-    def beside(role: str) -> DataFrame:
-        return reach.where(F.col("role") == role).drop("role")
-
     def linked(which: DataFrame, role: str) -> DataFrame:
-        other = beside(role).select(F.col("row").alias("near_row"), "near", F.col("cell").alias("near_cell"))
+        own = which.select("row", "kind", "start", "stop", cells(F.col("start"), F.col("stop")).alias("cell"))
         on = (F.col("row") == F.col("near_row")) & (F.col("cell") == F.col("near_cell"))
-        return which.join(other, on & (F.abs(F.col("start") - F.col("near")) <= scope), "left_semi")
+        within = (F.col("near") <= F.col("stop") + scope) & (F.col("start") - scope <= F.col("near_stop"))
+        # A part that spans several cells may meet others in each.
+        return own.join(reach.where(F.col("role") == role).drop("role"), on & within, "left_semi").drop("cell").distinct()
 
-    weak = cells.where("weak")
+    weak = roles.where("weak")
     kept = (
         linked(weak.where("kind = 'account'"), "secret")
         .unionByName(linked(weak.where("kind = 'key'"), "identifier"))

@@ -142,6 +142,27 @@ def test_secret_scan(spark, empty):
     assert "AKIAAKIA" not in clean[2]["text"] and clean[4]["text"] == SECRETS[4]
 
 
+def test_secret_scope_is_the_gap_between_parts(spark):
+    long = "Ab1" * 100
+    texts = [
+        f"{long} user: bob",
+        f"user: bob {long}",
+        f"{long}{' ' * 160}user: bob",
+        f"{long}{' ' * 161}user: bob",
+        f"https://host/{'p' * 3000} user: bob {long}",
+        f"user: {'z' * 400}{' ' * 100}{long}",
+        f"{long}{' ' * 100}user: {'z' * 400}{' ' * 100}https://host/{'p' * 300}",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {i: [s["kind"] for s in r["spans"]] for i, r in by_id(secret_scan.scan_secrets(docs)).items()}
+    both = ["account", "key"]
+    # The last endpoint is 608 code points from its key.
+    assert found == {
+        0: both[::-1], 1: both, 2: both[::-1], 3: [], 4: ["endpoint", *both], 5: both, 6: both[::-1]
+    }
+    assert "Ab1" not in by_id(secret_scan.redact_secrets(docs))[0]["text"]
+
+
 def random_texts(n):
     pick = random.Random(7)
     pool = "ab \n.e<|'séßΣ文\U0001f642▁1"
