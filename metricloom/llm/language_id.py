@@ -15,6 +15,8 @@ from metricloom.llm.batches import text_slices, texts_of
 
 #: Bytes of text, about, that the models of all languages learn from together.
 SAMPLE_BYTES = 6_000_000
+#: Code points of the pieces of texts by which they are sampled.
+PIECE = 4096
 #: Bytes of the longest context.
 ORDER = 3
 UNDETERMINED = "und"
@@ -140,18 +142,30 @@ def fit_languages(
     """Models of the languages of ``docs``; rows without text or language are left out.
 
     Each language learns from about ``sample_bytes`` / (number of languages)
-    bytes, whole texts taken by a hash of the text. Windows are counted and
-    summed by Spark; what comes to the driver is bounded by ``sample_bytes``.
+    bytes: pieces of ``PIECE`` code points at most, taken by their hash, and at
+    least the one of least hash. Copies of a piece share its hash and count as one
+    in the rate. Windows are counted and summed by Spark; what comes to the driver
+    is bounded by ``sample_bytes`` and a piece per language.
     """
     rows = docs.where(F.col(lang).isNotNull() & (F.col(text) != "")).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")
     )
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
+    pieces = F.when(F.length("text") <= PIECE, F.array("text")).otherwise(
+        F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    )
+    rows = rows.select("lang", F.explode(pieces).alias("text"))
+    share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
+    sizes = (
+        rows.groupBy("lang", F.xxhash64("text"))
+        .agg(F.max(F.octet_length("text")).alias("n"), F.min(share).alias("share"))
+        .groupBy("lang")
+        .agg(F.sum("n").alias("n"), F.min("share").alias("least"))
+        .collect()
+    )
     if not sizes:
         return LanguageModels([], [])
     each = sample_bytes / len(sizes)
-    rate = F.create_map(*(F.lit(x) for name, n in sizes.items() for x in (name, each / n)))
-    share = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / (1 << 30)
+    rate = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], max(each / r["n"], r["least"]))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
@@ -170,7 +184,7 @@ def fit_languages(
                 )
 
     counted = (
-        rows.where(share < rate[F.col("lang")])
+        rows.where(share <= rate[F.col("lang")])
         .mapInArrow(run, "lang string, w long, n long")
         .groupBy("lang", "w")
         .agg(F.sum("n").alias("n"))

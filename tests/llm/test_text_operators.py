@@ -299,6 +299,20 @@ def test_language_id(spark, docs, empty):
     assert {r["lang_pred"] for r in language_id.predict_language(docs, nothing).collect()} == {"und"}
 
 
+def test_each_language_has_training_text(spark):
+    parts = {name: some_words(20 + i, 3000) for i, name in enumerate("abcd")}
+    # A few long texts a language, or many copies of one short text, against a small sample.
+    rows = [(name, " ".join(w) + f" {i}") for name, w in parts.items() for i in range(2)]
+    rows += [("e", "eins zwei drei")] * 500
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    for sample in (10, 8000):
+        models = language_id.fit_languages(docs, sample_bytes=sample)
+        assert models.names == list("abcde") and all(len(t.symbols[0][0]) for t in models.trees)
+    # One piece of each language at least, and no whole text of 20 kB.
+    few = language_id.fit_languages(docs, sample_bytes=10)
+    assert len(few.known) <= 5 * (language_id.PIECE + 3)
+
+
 def test_code_lengths_match_a_walk_of_the_tree():
     data = b"\n\n\nabracadabra abracadabra"
     window, count = np.unique(language_id.windows(np.frombuffer(data, np.uint8)), return_counts=True)
