@@ -13,12 +13,15 @@ from metricloom.llm import (
     chat,
     decontaminate,
     fingerprints,
+    graph_search,
     jaccard_join,
     language_id,
     secret_scan,
+    spelling,
     substring_dedup,
     token_counts,
     toxicity,
+    whitening,
 )
 
 #: Folder of the tokenizer files, on every worker; unset, that of the installed package.
@@ -136,8 +139,41 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents"))
+
+
+#: Rows whose key this divides are the queries of op13.
+QUERY_EVERY = 20
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    found = graph_search.nearest(rows, rows.where(F.col("vec_id") % QUERY_EVERY == 0))
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_fingerprints, op2_secret_scan, op3_bpe_roundtrip, op4_decontaminate, op5_chat_format, op6_language_id, op7_jaccard_join, op8_token_counts, op9_substring_dedup, op10_toxicity)
+    f.__name__: f
+    for f in (
+        op1_fingerprints,
+        op2_secret_scan,
+        op3_bpe_roundtrip,
+        op4_decontaminate,
+        op5_chat_format,
+        op6_language_id,
+        op7_jaccard_join,
+        op8_token_counts,
+        op9_substring_dedup,
+        op10_toxicity,
+        op11_whitening,
+        op12_spelling,
+        op13_nearest,
+    )
 }
 
 ORACLES: dict[str, str] = {}
