@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from ..schema import ANY_VALUE, KEY_VALUE
 from .binding import last_per_key, let
 from .numbers import json_f64_sql
 from .text import json_str_sql
 
-DEFAULT_DEPTH = 3
-_VALUE_TYPE = ANY_VALUE.simpleString()
-_ENTRY_TYPE = KEY_VALUE.simpleString()
+# A JSON string, a mark of structure (commas and colons say nothing more), or another scalar.
+_TOKEN = r'"(?:[^"\\]|\\.)*"|[{}\[\]]|[^\s{}\[\]:,"]+'
+
+# Scalar members of a value in the order in which they count, should there be several.
+_SCALARS = ("stringValue", "intValue", "boolValue", "doubleValue", "bytesValue")
+_ENTRY = "struct<k:string,i:int,v:string>"
+_FRAME = f"struct<role:string,name:string,rank:int,out:string,key:string,items:array<{_ENTRY}>>"
+_STATE = f"array<{_FRAME}>"
 
 
 def _object_text(entries: str) -> str:
@@ -21,65 +25,148 @@ def _object_text(entries: str) -> str:
     )
 
 
-def _keyed(entries: str, depth: int) -> str:
-    e = f"ke{depth}"
+def _scalar_text(member: str, text: str) -> str:
+    """JSON text of a scalar member whose value is ``text``."""
+    return {
+        "stringValue": json_str_sql(text),
+        "intValue": f"coalesce(CAST(try_cast({text} AS BIGINT) AS STRING), 'null')",
+        "boolValue": f"coalesce(CAST(try_cast({text} AS BOOLEAN) AS STRING), 'null')",
+        "doubleValue": let("sd", f"try_cast({text} AS DOUBLE)", json_f64_sql("sd")),
+        "bytesValue": f"concat('\"', lower(hex(unbase64({text}))), '\"')",
+    }[member]
+
+
+def _frame(role: str, **fields: str) -> str:
+    """A frame as SQL; members not given are those of ``f``, or empty in a new one (``f`` is then no name)."""
+    empty = {
+        "name": "CAST(NULL AS STRING)",
+        "rank": "99",
+        "out": "CAST(NULL AS STRING)",
+        "key": "''",
+        "items": f"CAST(array() AS array<{_ENTRY}>)",
+    }
+    held = {"role": role, **{k: fields.get(k, v) for k, v in empty.items()}}
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in held.items()) + ")"
+
+
+def _changed(f: str, **fields: str) -> str:
+    """Frame ``f`` with some members replaced."""
+    held = {k: fields.get(k, f"{f}.{k}") for k in ("name", "rank", "out", "key", "items")}
+    return _frame(f"{f}.role", **held)
+
+
+def _opened(f: str, token: str) -> str:
+    """The role of what ``token`` opens inside frame ``f``."""
+    return (
+        f"CASE WHEN {f}.role = 'value' AND {f}.name = 'arrayValue' AND {token} = '{{' THEN 'array'"
+        f" WHEN {f}.role = 'value' AND {f}.name = 'kvlistValue' AND {token} = '{{' THEN 'kvlist'"
+        f" WHEN {f}.role IN ('array', 'kvlist') AND {f}.name = 'values' AND {token} = '['"
+        f" THEN concat({f}.role, ' items')"
+        f" WHEN {f}.role = 'array items' AND {token} = '{{' THEN 'value'"
+        f" WHEN {f}.role = 'kvlist items' AND {token} = '{{' THEN 'entry'"
+        f" WHEN {f}.role = 'entry' AND {f}.name = 'value' AND {token} = '{{' THEN 'value'"
+        f" ELSE 'other' END"
+    )
+
+
+def _closed(f: str) -> str:
+    """JSON text of a frame that ends."""
+    return (
+        f"CASE {f}.role WHEN 'array items' THEN concat('[', array_join(transform({f}.items, fi -> fi.v), ','), ']')"
+        f" WHEN 'kvlist items' THEN {_object_text(f'{f}.items')}"
+        f" WHEN 'array' THEN coalesce({f}.out, '[]') WHEN 'kvlist' THEN coalesce({f}.out, '{{}}')"
+        f" WHEN 'other' THEN CAST(NULL AS STRING) ELSE coalesce({f}.out, 'null') END"
+    )
+
+
+def _added(f: str, key: str, text: str) -> str:
+    entry = f"named_struct('k', {key}, 'i', size({f}.items), 'v', coalesce({text}, 'null'))"
+    return _changed(f, items=f"concat({f}.items, array({entry}))", name="CAST(NULL AS STRING)")
+
+
+def _given(f: str, child: str, text: str) -> str:
+    """Frame ``f`` after ``child``, which ends with ``text``, was put into it."""
+    nested = f"CASE {f}.name WHEN 'arrayValue' THEN {len(_SCALARS)} ELSE {len(_SCALARS) + 1} END"
+    name = "CAST(NULL AS STRING)"
     return (
-        f"transform({entries}, ({e}, ki{depth}) -> named_struct("
-        f"'k', coalesce({e}.key, ''), 'i', ki{depth},"
-        f" 'v', {any_value_to_json_sql(f'{e}.value', depth)}))"
+        f"CASE WHEN {f}.role IN ('array items', 'kvlist items') THEN {_added(f, f'{child}.key', text)}"
+        f" WHEN {child}.role = 'other' THEN {_changed(f, name=name)}"
+        f" WHEN {f}.role = 'value' AND {nested} < {f}.rank THEN {_changed(f, name=name, rank=nested, out=text)}"
+        f" WHEN {f}.role = 'value' THEN {_changed(f, name=name)}"
+        f" ELSE {_changed(f, name=name, out=text)} END"
     )
 
 
-def _nested_text(value: str, depth: int) -> str:
-    """Array or key-value list. Both become entries, so each level recurses once."""
-    items = (
-        f"transform(try_variant_get({value}.arrayValue, '$.values', 'array<{_VALUE_TYPE}>'),"
-        f" ni -> named_struct('key', '', 'value', ni))"
+def _taken(f: str, token: str) -> str:
+    """Frame ``f`` after a scalar token: a member's name, or a value."""
+    text = (
+        f"CASE WHEN startswith({token}, '\"') THEN element_at(from_json(concat('[', {token}, ']'), 'array<string>'), 1)"
+        f" ELSE {token} END"
     )
-    members = (
-        f"try_variant_get({value}.kvlistValue, '$.values', 'array<{_ENTRY_TYPE}>')"
+    scalar = " ".join(
+        f"WHEN {f}.name = '{m}' AND {i} < {f}.rank THEN {_changed(f, name='CAST(NULL AS STRING)', rank=str(i), out=_scalar_text(m, 'tx'))}"
+        for i, m in enumerate(_SCALARS)
     )
-    entries = f"coalesce({items}, {members}, CAST(array() AS array<{_ENTRY_TYPE}>))"
-    ne = f"ne{depth}"
+    nothing = _changed(f, name="CAST(NULL AS STRING)")
     return let(
-        ne,
-        _keyed(entries, depth - 1),
-        f"CASE WHEN {value}.arrayValue IS NOT NULL"
-        f" THEN concat('[', array_join(transform({ne}, nx -> nx.v), ','), ']')"
-        f" ELSE {_object_text(ne)} END",
+        "tx",
+        text,
+        f"CASE WHEN {f}.role IN ('array items', 'kvlist items') THEN {_added(f, chr(39) * 2, 'CAST(NULL AS STRING)')}"
+        f" WHEN {f}.role = 'other' THEN {f}"
+        f" WHEN {f}.name IS NULL THEN {_changed(f, name='tx')}"
+        f" WHEN {token} = 'null' THEN {nothing}"
+        f" WHEN {f}.role = 'value' THEN CASE {scalar} ELSE {nothing} END"
+        f" WHEN {f}.role = 'entry' AND {f}.name = 'key' THEN {_changed(f, name='CAST(NULL AS STRING)', key='tx')}"
+        f" ELSE {nothing} END",
     )
 
 
-def any_value_to_json_sql(value: str, depth: int = DEFAULT_DEPTH) -> str:
-    """One attribute value as JSON text.
+def _nested_text(value: str) -> str:
+    """Array or key-value list, however deep: a fold over the JSON tokens with a stack of open objects and lists.
 
-    ``depth`` bounds how many array / key-value-list levels the expression
-    covers. Deeper data fails the query with a message naming the limit, so
-    nothing is ever cut off silently; pass a larger depth for such data.
+    A closed object or list is put into the one around it as JSON text, so the
+    expression has one form for all levels. ``value`` members that hold something
+    else than the encoding allows read as unset.
     """
-    if depth > 0:
-        nested = _nested_text(value, depth)
-    else:
-        nested = (
-            "CAST(raise_error('attribute value nested deeper than attr_depth;"
-            " pass a larger attr_depth') AS STRING)"
-        )
+    kind = f"CASE WHEN {value}.arrayValue IS NOT NULL THEN 'arrayValue' ELSE 'kvlistValue' END"
+    text = f"to_json(coalesce({value}.arrayValue, {value}.kvlistValue))"
+    tokens = f"regexp_extract_all({text}, r'{_TOKEN}', 0)"
+    root = _frame("'value'", name=kind)
+    closing = let(
+        "fc",
+        _closed("element_at(st, -1)"),
+        f"concat(slice(st, 1, size(st) - 2), array({_given('element_at(st, -2)', 'element_at(st, -1)', 'fc')}))",
+    )
+    step = (
+        f"CASE WHEN tk IN ('{{', '[') THEN concat(st, array({_frame(_opened('element_at(st, -1)', 'tk'))}))"
+        f" WHEN tk IN ('}}', ']') THEN {closing}"
+        f" ELSE concat(slice(st, 1, size(st) - 1), array({let('ft', 'element_at(st, -1)', _taken('ft', 'tk'))})) END"
+    )
+    empty = f"CASE WHEN {value}.arrayValue IS NOT NULL THEN '[]' ELSE '{{}}' END"
     return (
-        f"CASE WHEN {value}.stringValue IS NOT NULL THEN {json_str_sql(f'{value}.stringValue')}"
-        f" WHEN {value}.intValue IS NOT NULL"
-        f" THEN coalesce(CAST(try_cast({value}.intValue AS BIGINT) AS STRING), 'null')"
-        f" WHEN {value}.boolValue IS NOT NULL THEN CAST({value}.boolValue AS STRING)"
-        f" WHEN {value}.doubleValue IS NOT NULL THEN {json_f64_sql(f'{value}.doubleValue')}"
-        f" WHEN {value}.bytesValue IS NOT NULL"
-        f" THEN concat('\"', lower(hex(unbase64({value}.bytesValue))), '\"')"
-        f" WHEN {value}.arrayValue IS NOT NULL OR {value}.kvlistValue IS NOT NULL"
-        f" THEN {nested} ELSE 'null' END"
+        f"aggregate({tokens}, CAST(array({root}) AS {_STATE}), (st, tk) -> {step},"
+        f" st -> coalesce(st[0].out, {empty}))"
     )
 
 
-def attrs_to_json_sql(attributes: str, depth: int = DEFAULT_DEPTH) -> str:
-    """An attribute list as JSON object text; NULL when the list is empty."""
+def _keyed(entries: str) -> str:
+    return (
+        f"transform({entries}, (ke, ki) -> named_struct("
+        f"'k', coalesce(ke.key, ''), 'i', ki, 'v', {any_value_to_json_sql('ke.value')}))"
+    )
+
+
+def any_value_to_json_sql(value: str) -> str:
+    """One attribute value as JSON text; arrays and key-value lists may nest to any depth."""
+    scalars = " ".join(
+        f"WHEN {value}.{m} IS NOT NULL THEN {_scalar_text(m, f'{value}.{m}')}" for m in _SCALARS
+    )
     return (
-        f"CASE WHEN size({attributes}) > 0"
-        f" THEN {_object_text(_keyed(attributes, depth))} END"
+        f"CASE {scalars} WHEN {value}.arrayValue IS NOT NULL OR {value}.kvlistValue IS NOT NULL"
+        f" THEN {_nested_text(value)} ELSE 'null' END"
     )
+
+
+def attrs_to_json_sql(attributes: str) -> str:
+    """An attribute list as JSON object text; NULL when the list is empty."""
+    return f"CASE WHEN size({attributes}) > 0 THEN {_object_text(_keyed(attributes))} END"

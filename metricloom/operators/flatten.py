@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import attrs_to_json
 from ..functions.numbers import as_i32_sql, as_i64_sql, json_f64_sql, unsigned_text_sql
-from ..functions.otlp import DEFAULT_DEPTH
 from ..schema import POINT_COLUMNS
+from ..sources.otlp import CORRUPT, request_error_sql
 
 # Data kind in the request -> metric_type of its points.
 _KINDS = {
@@ -27,6 +27,10 @@ _TEMPORALITY = (
 )
 
 
+# An unreadable count keeps its place, so those after it do not shift.
+_COUNT = f"coalesce({unsigned_text_sql('bc')}, 'null')"
+
+
 def _json_array(items: str, var: str, element: str) -> str:
     return (
         f"concat('[', array_join(transform(coalesce({items}, array()),"
@@ -36,7 +40,7 @@ def _json_array(items: str, var: str, element: str) -> str:
 
 def _buckets(side: str) -> str:
     """Exponential buckets as an object, or null when the side is absent."""
-    counts = _json_array(f"p.{side}.bucketCounts", "bc", unsigned_text_sql("bc"))
+    counts = _json_array(f"p.{side}.bucketCounts", "bc", _COUNT)
     return (
         f"CASE WHEN p.{side} IS NULL THEN 'null' ELSE concat('{{\"bucket_counts\":', {counts},"
         f" ',\"offset\":', CAST(coalesce(p.{side}.offset, 0) AS STRING), '}}') END"
@@ -88,7 +92,7 @@ def _point_columns(kinded: str) -> dict[str, str]:
         ),
         "hist_counts": (
             f"CASE WHEN {kinded} = 'histogram' THEN"
-            f" {_json_array('p.bucketCounts', 'bc', unsigned_text_sql('bc'))} END"
+            f" {_json_array('p.bucketCounts', 'bc', _COUNT)} END"
         ),
         "extra_data": (
             f"CASE WHEN {kinded} = 'exp_histogram' THEN {_exponential_extra()}"
@@ -99,26 +103,40 @@ def _point_columns(kinded: str) -> dict[str, str]:
     }
 
 
-def flatten(
-    requests: DataFrame,
-    keep: list[str] | None = None,
-    attr_depth: int = DEFAULT_DEPTH,
-) -> DataFrame:
+def flatten(requests: DataFrame, keep: list[str] | None = None, rejects: bool = False) -> DataFrame:
     """One row per data point of every request, in request order.
 
     ``requests`` holds a ``resourceMetrics`` column of OTLP_SCHEMA. ``keep``
     names further input columns to carry along (file metadata, an arrival time).
     The plan is narrow: four explodes and projections, no shuffle.
 
+    With ``rejects``, a request that ``sources.otlp`` finds bad (it is then
+    expected to have a ``_corrupt`` column) gives no points but one row, whose
+    ``_rejected`` holds its line and the reason; ``accepted`` and ``rejected``
+    take the result apart. Without, an unreadable number reads as absent.
+
     Resource text is rendered before its points are unnested, so it is built
     once per resource rather than once per point.
     """
     carried = list(keep or [])
-    resources = requests.select(*carried, F.explode("resourceMetrics").alias("rm"))
+    explode = F.explode
+    if rejects:
+        requests = requests.withColumn("_reason", F.expr(request_error_sql())).select(
+            *carried,
+            F.expr("CASE WHEN _reason IS NULL THEN resourceMetrics END").alias("resourceMetrics"),
+            F.expr(
+                f"CASE WHEN _reason IS NOT NULL THEN named_struct('line', coalesce({CORRUPT},"
+                " to_json(named_struct('resourceMetrics', resourceMetrics))), 'reason', _reason) END"
+            ).alias("_rejected"),
+        )
+        carried.append("_rejected")
+        # A rejected request has nothing to unnest and keeps its one row through all levels.
+        explode = F.explode_outer
+    resources = requests.select(*carried, explode("resourceMetrics").alias("rm"))
     scopes = resources.select(
         *carried,
-        attrs_to_json("rm.resource.attributes", attr_depth).alias("resource_attrs"),
-        F.explode("rm.scopeMetrics").alias("sm"),
+        attrs_to_json("rm.resource.attributes").alias("resource_attrs"),
+        explode("rm.scopeMetrics").alias("sm"),
     )
     metrics = scopes.select(
         *carried,
@@ -127,7 +145,7 @@ def flatten(
             "scope_name"
         ),
         F.expr("nullif(sm.scope.version, '')").alias("scope_version"),
-        F.explode("sm.metrics").alias("m"),
+        explode("sm.metrics").alias("m"),
     )
     kind = " ".join(f"WHEN m.{field} IS NOT NULL THEN '{tag}'" for field, tag in _KINDS.items())
     data_points = " ".join(
@@ -149,12 +167,14 @@ def flatten(
             "is_monotonic"
         ),
         F.expr(f"CASE {temporality} END").cast("int").alias("aggregation_temporality"),
-        F.explode(F.expr(f"CASE {data_points} END")).alias("p"),
+        explode(F.expr(f"CASE {data_points} END")).alias("p"),
     )
+    if rejects:
+        points = points.where("p IS NOT NULL OR _rejected IS NOT NULL")
     computed = {
         name: F.expr(sql).alias(name) for name, sql in _point_columns("metric_type").items()
     }
-    computed["dp_attrs"] = attrs_to_json("p.attributes", attr_depth).alias("dp_attrs")
+    computed["dp_attrs"] = attrs_to_json("p.attributes").alias("dp_attrs")
     return points.select(
         *carried, *[computed.get(name, F.col(name)) for name in POINT_COLUMNS]
     )

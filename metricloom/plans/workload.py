@@ -12,7 +12,7 @@ from ..operators.flatten import flatten
 from ..schema import KEY_VALUE, METRIC_SCHEMA, POINT_COLUMNS, TABLE_NAME
 from ..sources import jsonl, points as tables, query as adhoc
 from ..sources.arrival import in_order
-from ..sources.otlp import read_otlp
+from ..sources.otlp import accepted, parse_otlp, read_otlp, rejected
 from ..sources.scratch import scratch_dir
 from ..streaming.ingest import Ingest, read_series
 from ..streaming.latest import read_latest, run_latest
@@ -534,6 +534,49 @@ def otlp_attr_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("event_id", attrs_to_json("kvs").alias("attrs"))
 
 
+# Two levels, an array that holds a key-value list, as often as the event says: up to 16 levels.
+_DEEP = ('{"arrayValue":{"values":[{"kvlistValue":{"values":[{"key":"k","value":', '}]}},{"intValue":"', '"}]}}')
+
+
+@_register(
+    "SELECT event_id, '{\"deep\":' || repeat('[{\"k\":', CAST(event_id % 9 AS BIGINT)) || '\"' || event_type"
+    " || '\"' || repeat('},' || event_id || ']', CAST(event_id % 9 AS BIGINT)) || '}' AS attrs FROM events"
+)
+def otlp_deep_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    times = "CAST(event_id % 9 AS INT)"
+    value = (
+        f"concat(repeat('{_DEEP[0]}', {times}), '{{\"stringValue\":\"', event_type, '\"}}',"
+        f" repeat(concat('{_DEEP[1]}', CAST(event_id AS STRING), '{_DEEP[2]}'), {times}))"
+    )
+    texts = table(spark, sf_dir, "events").selectExpr(
+        "event_id", f"concat('[{{\"key\":\"deep\",\"value\":', {value}, '}}]') AS text"
+    )
+    lists = texts.select("event_id", F.from_json("text", f"array<{KEY_VALUE.simpleString()}>").alias("kvs"))
+    return lists.select("event_id", attrs_to_json("kvs").alias("attrs"))
+
+
+@_register(
+    "SELECT block, CASE block % 5 WHEN 1 THEN 'not a request' WHEN 2 THEN 'unreadable number' END AS reason,"
+    " CASE WHEN block % 5 IN (1, 2) THEN 0 ELSE count(*) END AS points"
+    " FROM (SELECT event_id // 100 AS block FROM events) GROUP BY block"
+)
+def otlp_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides of requests of which some are cut off and some give a time that is no number."""
+    texts = otlp_texts(spark, sf_dir).withColumn(
+        "value",
+        F.expr(
+            "CASE block % 5 WHEN 1 THEN substring(value, 1, length(value) - 3)"
+            " WHEN 2 THEN replace(value, '\"timeUnixNano\":\"', '\"timeUnixNano\":\"x') ELSE value END"
+        ),
+    )
+    flat = flatten(parse_otlp(texts), keep=["block"], rejects=True)
+    good = accepted(flat).groupBy("block").agg(F.count("*").alias("points"))
+    bad = rejected(flat, "block").groupBy("block", "reason").agg(F.count("line").alias("lines"))
+    return good.select("block", F.lit(None).cast("string").alias("reason"), "points").unionByName(
+        bad.where("lines = 1").select("block", "reason", F.lit(0).cast("long").alias("points"))
+    )
+
+
 # --- sources and sinks ---------------------------------------------------------
 
 

@@ -1,4 +1,6 @@
+import base64
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,12 +111,10 @@ def test_metric_map(spark):
     assert text == '{"__name__":"m","a_b":"2"}'
 
 
-def attrs(spark, kvs, depth=3):
+def attrs(spark, kvs):
     kv_type = f"array<{KEY_VALUE.simpleString()}>"
     df = spark.createDataFrame([(json.dumps(kvs),)], "t string")
-    return df.select(F.from_json("t", kv_type).alias("k")).select(
-        attrs_to_json("k", depth)
-    ).first()[0]
+    return df.select(F.from_json("t", kv_type).alias("k")).select(attrs_to_json("k")).first()[0]
 
 
 def kv(key, kind=None, value=None):
@@ -154,10 +154,54 @@ def test_nested_attributes(spark):
     assert got == '{"empty":[],"list":[4,null,{"a":"x","z":false}],"none":{}}'
 
 
-def test_depth_limit_fails_loudly(spark):
-    value = {"stringValue": "x"}
-    for _ in range(5):
-        value = {"arrayValue": {"values": [value]}}
-    with pytest.raises(Exception, match="attr_depth"):
-        attrs(spark, [{"key": "d", "value": value}])
-    assert attrs(spark, [{"key": "d", "value": value}], depth=5) == '{"d":[[[[["x"]]]]]}'
+def any_value(depth, pick):
+    """A random value and the plain JSON value it stands for."""
+    kind = pick.choice(["string", "int", "bool", "double", "bytes", "none", *["array", "kvlist"] * (2 if depth else 0)])
+    if kind == "string":
+        text = pick.choice(["", "a", 'q"\\', "{[,:]}", "tab\tnew\nline\x01", "é文\U0001f642", "arrayValue", "values"])
+        return {"stringValue": text}, text
+    if kind == "int":
+        n = pick.choice([0, -1, 2**62, 17])
+        return {"intValue": pick.choice([n, str(n)])}, n
+    if kind == "bool":
+        return {"boolValue": (b := pick.random() < 0.5)}, b
+    if kind == "double":
+        return {"doubleValue": (x := pick.choice([0.5, -2.25, 100.0]))}, x
+    if kind == "bytes":
+        return {"bytesValue": base64.b64encode(b := bytes([pick.randrange(256)] * pick.randrange(4))).decode()}, b.hex()
+    if kind == "none":
+        return {}, None
+    inner = [any_value(depth - 1, pick) for _ in range(pick.randrange(4))]
+    if kind == "array":
+        return {"arrayValue": {"values": [v for v, _ in inner]}}, [p for _, p in inner]
+    keys = [pick.choice(["b", "a", "key", "value", 'k"']) for _ in inner]
+    return (
+        {"kvlistValue": {"values": [{"key": k, "value": v} for k, (v, _) in zip(keys, inner)]}},
+        {k: p for k, (_, p) in zip(keys, inner)},
+    )
+
+
+def test_values_of_any_depth(spark):
+    pick = random.Random(5)
+    made = [any_value(d, pick) for d in (1, 2, 3, 4, 6, 8) for _ in range(12)]
+    deep, plain = {"stringValue": "x"}, "x"
+    for i in range(60):
+        if i % 2:
+            deep, plain = {"arrayValue": {"values": [deep, {"intValue": i}]}}, [plain, i]
+        else:
+            deep, plain = {"kvlistValue": {"values": [{"key": f"k{i}", "value": deep}]}}, {f"k{i}": plain}
+    made.append((deep, plain))
+    lists = [[{"key": "v", "value": value}, {"key": "a", "value": value}] for value, _ in made]
+    df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(lists)], "i int, t string")
+    kinds = f"array<{KEY_VALUE.simpleString()}>"
+    got = dict(df.select("i", F.from_json("t", kinds).alias("k")).select("i", attrs_to_json("k")).collect())
+    for i, (_, value) in enumerate(made):
+        expected = json.dumps({"a": value, "v": value}, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+        assert got[i] == expected
+
+
+def test_values_outside_the_encoding(spark):
+    odd = {"values": [None, 5, "text", [{"intValue": 1}], {"unknown": {"intValue": 1}, "intValue": "2"},
+                      {"intValue": "x"}, {"kvlistValue": {"values": [None, 7, {"value": {"intValue": 3}}, {"key": "k"}]}}]}
+    got = attrs(spark, [kv("a", "arrayValue", odd), kv("b", "arrayValue", {"other": [1, {"values": []}]})])
+    assert got == '{"a":[null,null,null,null,2,null,{"":3,"k":null}],"b":[]}'
