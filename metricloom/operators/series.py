@@ -124,6 +124,12 @@ def latest_by_attrs(points: DataFrame) -> DataFrame:
     return raw.groupBy("series_name", "attrs").agg(*_latest_aggregates("id", "id"))
 
 
+def fold_by_attrs(changes: DataFrame) -> DataFrame:
+    """Rows of ``latest_by_attrs`` of many batches as one row per (series name, attribute text), sorted by them."""
+    folded = changes.groupBy("series_name", "attrs").agg(*_latest_aggregates("first_id", "last_id"))
+    return folded.select(changes.columns).sortWithinPartitions("series_name", "attrs")
+
+
 def merge_latest(partial: DataFrame, labels: dict[str, str] | None = None) -> DataFrame:
     """Combine rows of ``latest_by_attrs`` (of one or many batches) into one per series."""
     labelled = _with_labels(partial, "last_id >= first_id", labels)

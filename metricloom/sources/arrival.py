@@ -5,66 +5,61 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pyarrow as pa
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from .commits import Files
+from .scratch import scratch_dir, written
 
 # Columns read_otlp adds so that arrival order survives the scheduling of files.
 SPLIT_COLUMNS = ["_file_time", "_file", "_block"]
 
 
 @contextmanager
-def arrival_ids(points: DataFrame, base: int = 0) -> Iterator[tuple[DataFrame, int]]:
-    """``points`` with ``id`` base+1, base+2, ... in arrival order, and their number.
-
-    For use inside ``with``, which releases the kept rows at the end.
-
-    Arrival order is file time, file name, position in the file when ``points``
-    carries SPLIT_COLUMNS, else the order of the partitions. The rows are kept
-    (memory, then executor disk) with their position; a first pass counts them
-    per input split, a second adds each split's start. Keeping them pins the
-    partitioning, so both passes agree even when a lost executor's part is
-    computed again. One count per input split comes to the driver, which tracks
-    every split as a task anyway; the starts are broadcast if their bytes are
-    under Spark's threshold and joined by shuffle beyond it.
+def staged(points: DataFrame) -> Iterator[DataFrame]:
+    """``points`` computed once, into a scratch table that is deleted at the end.
+
+    The rows keep their position (``_seq``) and, without SPLIT_COLUMNS, their
+    partition (``_part``). A table on shared storage outlives executors, so all
+    later passes agree on both.
     """
-    spark = points.sparkSession
-    key = [c for c in SPLIT_COLUMNS if c in points.columns]
-    if not key:
-        key = ["_part"]
+    if not any(c in points.columns for c in SPLIT_COLUMNS):
         points = points.withColumn("_part", F.spark_partition_id())
-    numbered = points.withColumn("_seq", F.monotonically_increasing_id())
-    numbered.persist(StorageLevel.MEMORY_AND_DISK)
+    path = scratch_dir(points.sparkSession)
+    points.withColumn("_seq", F.monotonically_increasing_id()).write.parquet(path)
     try:
-        counts = numbered.groupBy(*key).agg(F.count("*").alias("n"), F.min("_seq").alias("first"))
-        start, rows = base, []
-        for split in sorted(counts.collect(), key=lambda r: tuple(r[k] for k in key)):
-            rows.append((*[split[k] for k in key], start - split["first"] + 1))
-            start += split["n"]
-        # As an Arrow table the starts have a size the optimizer knows, and it
-        # broadcasts them under its own threshold or shuffles.
-        fields = [(k, pa.string() if k == "_file" else pa.int64()) for k in key]
-        columns = zip(*rows, strict=True) if rows else [[] for _ in range(len(key) + 1)]
-        starts = spark.createDataFrame(
-            pa.table(
-                [pa.array(c, t) for c, (_, t) in zip(columns, [*fields, ("", pa.int64())], strict=True)],
-                names=[*key, "_shift"],
-            )
-        )
-        with_ids = (
-            numbered.join(starts, key)
-            .withColumn("id", F.col("_seq") + F.col("_shift"))
-            .drop("_seq", "_shift", *key)
-        )
-        yield with_ids, start - base
+        yield points.sparkSession.read.parquet(path)
     finally:
-        numbered.unpersist()
+        Files(points.sparkSession, path).delete(path)
+
+
+def numbered(kept: DataFrame, base: int = 0) -> DataFrame:
+    """``staged`` rows with ``id`` base+1, base+2, ... in arrival order.
+
+    Arrival order is file time, file name, position in the file when the rows
+    carry SPLIT_COLUMNS, else the order of the partitions. Rows are counted per
+    input split; each split starts where those before it end. The starts, one
+    row per split, are a written table whose size Spark knows: it broadcasts
+    them under its threshold and shuffles beyond.
+    """
+    key = [c for c in SPLIT_COLUMNS if c in kept.columns] or ["_part"]
+    counts = kept.groupBy(*key).agg(F.count("*").alias("n"), F.min("_seq").alias("first"))
+    before = F.sum("n").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1))
+    shift = F.coalesce(before, F.lit(0)) + base + 1 - F.col("first")
+    starts = written(counts.select(*key, shift.alias("_shift")))
+    return kept.join(starts, key).withColumn("id", F.col("_seq") + F.col("_shift")).drop("_seq", "_shift", *key)
+
+
+@contextmanager
+def arrival_ids(points: DataFrame, base: int = 0) -> Iterator[tuple[DataFrame, int]]:
+    """``points`` with ``id`` as ``numbered`` gives them, and their number. For use inside ``with``."""
+    with staged(points) as kept:
+        yield numbered(kept, base), kept.count()
 
 
 def in_order(points: DataFrame, *order: str) -> DataFrame:
     """Range-partitioned by columns that tell arrival (an offset, a receive time).
 
-    The partitions are then in arrival order, as ``arrival_ids`` expects. The
+    The partitions are then in arrival order, as ``numbered`` expects. The
     columns should identify a row, so that a repeated computation agrees.
     """
     return points.repartitionByRange(*order).sortWithinPartitions(*order)

@@ -2,28 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import METRIC_SCHEMA, TABLE_NAME
-from .arrival import arrival_ids
+from .arrival import numbered, staged
+from .commits import CommitLog, first_files
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
-    """The table with its fixed schema; nothing is inferred from files."""
-    scan = spark.read.schema(METRIC_SCHEMA).parquet(path)
-    return scan.select(*METRIC_SCHEMA.fieldNames())
+def read_points(
+    spark: SparkSession, path: str, first: int | None = None, last: int | None = None
+) -> DataFrame:
+    """The table's committed rows with its fixed schema; nothing is inferred from files.
 
-
-def max_id(spark: SparkSession, path: str) -> int:
-    """Highest arrival id in the table, 0 when it is empty or does not exist."""
-    try:
-        top = read_points(spark, path).agg(F.max("id")).first()[0]
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return 0
-    return top or 0
+    With ``first`` (``last``) only the files are read that can hold that many rows
+    of least (greatest) id, chosen by the ids that the commits tell of; ``head``
+    and ``tail`` of the result are those of the table. A folder without commits,
+    such as the analysis layout, is read whole.
+    """
+    log = CommitLog(spark, path)
+    if not log.exists():
+        return spark.read.schema(METRIC_SCHEMA).parquet(path).select(*METRIC_SCHEMA.fieldNames())
+    files = None
+    if first is not None or last is not None:
+        files = first_files(log.live(), first if first is not None else last, latest=first is None)
+    return log.read(METRIC_SCHEMA, files).select(*METRIC_SCHEMA.fieldNames())
 
 
 def conform(points: DataFrame) -> DataFrame:
@@ -39,22 +41,20 @@ def conform(points: DataFrame) -> DataFrame:
 
 
 def batch_folder(path: str, stream: str, batch_id: int) -> str:
-    """Where a batch lives. Every writer uses this form, so the table's folders agree."""
+    """Where a batch of a sink without commits lives."""
     return f"{path}/stream={stream}/batch_id={batch_id}"
 
 
 def append_points(points: DataFrame, path: str) -> None:
-    """Append a batch. Rows without ``id`` are numbered after those in the table.
-
-    One writer at a time, as ids continue from the highest one present. The
-    job's commit makes the whole batch visible at once.
+    """Append a batch, which becomes visible as a whole. Rows without ``id`` are numbered
+    after the highest id that the commits tell of. One writer at a time.
     """
-    folder = batch_folder(path, "append", 0)
+    log = CommitLog(points.sparkSession, path)
     if "id" in points.columns:
-        conform(points).write.mode("append").parquet(folder)
+        log.append(conform(points), "append")
         return
-    with arrival_ids(points, max_id(points.sparkSession, path)) as (numbered, _):
-        conform(numbered).write.mode("append").parquet(folder)
+    with staged(points) as kept:
+        log.append(conform(numbered(kept, log.last_id())), "append")
 
 
 def write_analysis_layout(points: DataFrame, path: str, files: int | None = None) -> None:

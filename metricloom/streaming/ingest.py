@@ -12,15 +12,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.flatten import flatten
-from ..operators.series import latest_by_attrs, merge_latest
-from ..sources.arrival import SPLIT_COLUMNS, arrival_ids
+from ..operators.series import fold_by_attrs, latest_by_attrs, merge_latest
+from ..sources.arrival import SPLIT_COLUMNS, numbered, staged
+from ..sources.commits import CommitLog
 from ..sources.jsonl import write_jsonl
-from ..sources.points import batch_folder, conform, max_id
+from ..sources.otlp import CORRUPT, accepted, rejected
+from ..sources.points import batch_folder, conform
+from .rate import OBSERVED, POINTS, REJECTED
 
 log = logging.getLogger(__name__)
 
-# Ids of a stream: batch number above, row number in the batch below.
+# Ids of a stream: batch number above, row number in the batch below. A batch may use up several.
 BATCH_ID_BITS = 34
+CHANGES = (
+    "series_name string, attrs string, timestamp double, value double, type_code int, first_id long, last_id long"
+)
+#: Batches of series changes after which they are folded into one.
+FOLD_AFTER = 8
 
 
 def start(
@@ -54,12 +62,20 @@ class CapReached(Exception):
 class Ingest:
     """The sinks of one ingest stream.
 
-    Every batch is kept once and written, in this order, to the series changes
-    (``series``), the point table (``table``) and JSON lines (``jsonl``); each
-    path is optional. Batches go to their own folder below a name derived from
-    the checkpoint and replace it when repeated, so nothing is written twice. A
-    JSON-lines failure is logged and does not fail the batch; any other does,
-    and the batch is tried again on restart.
+    Every batch is computed once, into shared storage, and written, in this
+    order, to the series changes (``series``), the point table (``table``), the
+    bad requests (``rejects``) and JSON lines (``jsonl``); each path is optional.
+    Series, table and rejects are tables with commits: a batch is visible as a
+    whole or not at all, and replaces itself when repeated. JSON lines go to a
+    folder per batch; their failure is logged and does not fail the batch; any
+    other does, and the batch is tried again on restart. Changes of more than
+    ``fold_after`` batches are folded into one row per series.
+
+    Points of a stream of requests are counted in the query's progress, as are
+    bad requests, which give no points.
+
+    ``flush_points`` cuts the table's batches into units of that many points and
+    a rest, each in its own files (``CommitLog.batches`` lists them); 0 does not.
 
     ``max_rows`` stops the stream after the batch that reaches it. A batch that
     comes before the stop takes effect fails with ``CapReached``, so it is not
@@ -73,10 +89,14 @@ class Ingest:
         table: str | None = None,
         jsonl: str | None = None,
         series: str | None = None,
+        rejects: str | None = None,
         max_rows: int = 0,
+        flush_points: int = 0,
+        fold_after: int = FOLD_AFTER,
         on_batch: Callable[[DataFrame, int], None] | None = None,
     ):
         self.checkpoint, self.table, self.jsonl, self.series = checkpoint, table, jsonl, series
+        self.rejects, self.flush_points, self.fold_after = rejects, flush_points, fold_after
         self.max_rows, self.on_batch = max_rows, on_batch
         self.stream_name = stream_name(checkpoint)
         self.total = 0
@@ -90,64 +110,75 @@ class Ingest:
         ``trigger``: ``processing_time`` (flush interval) or ``available_now``;
         the batch size is the source's option, such as ``maxFilesPerTrigger``.
         """
-        spark = requests.sparkSession
         points = requests
         if "resourceMetrics" in requests.columns:
-            points = flatten(requests, keep=[c for c in SPLIT_COLUMNS if c in requests.columns])
+            kept = [c for c in SPLIT_COLUMNS if c in requests.columns]
+            points = flatten(requests, keep=kept, rejects=CORRUPT in requests.columns)
+        bad = F.count("_rejected") if "_rejected" in points.columns else F.lit(0).cast("long")
+        points = points.observe(OBSERVED, (F.count("*") - bad).alias(POINTS), bad.alias(REJECTED))
         if self.table and "id" not in points.columns:
-            self._first_id = self._id_base(spark)
+            self._first_id = self._id_base(requests.sparkSession)
         self.query = start(points, self.write, self.checkpoint, **trigger)
         if self.max_rows:
             threading.Thread(target=self._stop_when_full, daemon=True).start()
         return self.query
 
     def _id_base(self, spark: SparkSession) -> int:
-        """A multiple of the batch range above every id other streams wrote."""
-        try:
-            others = spark.read.option("basePath", self.table).parquet(self.table)
-        except PySparkException as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-            return 0
-        if "stream" in others.columns:
-            top = (
-                others.where(F.col("stream").cast("string") != self.stream_name)
-                .agg(F.max("id"))
-                .first()[0]
-            ) or 0
-        else:
-            top = max_id(spark, self.table)
+        """A multiple of the batch range above every id other streams committed."""
+        top = CommitLog(spark, self.table).last_id(but=self.stream_name)
         batches = (top + (1 << BATCH_ID_BITS) - 1) >> BATCH_ID_BITS
         return batches << BATCH_ID_BITS
 
+    def _start_id(self, spark: SparkSession, batch_id: int) -> int:
+        """Where the ids of a batch start: in its own range, unless an earlier batch outgrew its own."""
+        base = self._first_id + (batch_id << BATCH_ID_BITS)
+        if not self.table:
+            return base
+        mine = CommitLog(spark, self.table).entries().where(
+            (F.col("stream") == self.stream_name) & (F.col("batch_id") < batch_id)
+        )
+        return max(base, mine.agg(F.max("last_id")).first()[0] or 0)
+
     def write(self, batch: DataFrame, batch_id: int) -> None:
         if self.full.is_set():
             raise CapReached(f"{self.total} rows reached the cap of {self.max_rows}")
-        if "id" in batch.columns:
-            kept = batch.persist()
-            try:
-                self._write_sinks(conform(kept), kept.count(), batch_id)
-            finally:
-                kept.unpersist()
-        else:
-            base = self._first_id + (batch_id << BATCH_ID_BITS)
-            with arrival_ids(batch, base) as (numbered, rows):
-                self._write_sinks(conform(numbered), rows, batch_id)
+        with staged(batch) as kept:
+            good = kept
+            if "_rejected" in kept.columns:
+                good = accepted(kept)
+                if self.rejects:
+                    self._append(self.rejects, rejected(kept), batch_id)
+            rows = good.count()
+            if rows:
+                if "id" not in good.columns:
+                    good = numbered(good, self._start_id(batch.sparkSession, batch_id))
+                self._write_sinks(conform(good), rows, batch_id)
         if self.max_rows and self.total >= self.max_rows:
             log.info("%d rows reached the cap of %d", self.total, self.max_rows)
             self.full.set()
 
+    def _append(self, path: str, rows: DataFrame, batch_id: int) -> CommitLog:
+        commits = CommitLog(rows.sparkSession, path)
+        commits.append(rows, self.stream_name, batch_id)
+        return commits
+
     def _write_sinks(self, points: DataFrame, rows: int, batch_id: int) -> None:
-        if rows == 0:
-            return
-        if rows >> BATCH_ID_BITS:
-            raise ValueError("micro-batch too large for its id range; lower maxFilesPerTrigger")
+        spark = points.sparkSession
+        if self.table:
+            # The files are written first and read by the other sinks; the commit shows them.
+            table = CommitLog(spark, self.table)
+            unit = None
+            if self.flush_points:
+                least = points.agg(F.min("id").alias("least")).scalar()
+                unit = F.floor((F.col("id") - least) / self.flush_points)
+            folder = table.write(points, self.stream_name, batch_id, unit)
+            points = spark.read.schema(points.schema).option("recursiveFileLookup", "true").parquet(folder)
         if self.series:
-            folder = batch_folder(self.series, self.stream_name, batch_id)
-            latest_by_attrs(points).write.mode("overwrite").parquet(folder)
+            changes = latest_by_attrs(points)
+            commits = self._append(self.series, changes, batch_id)
+            commits.fold(fold_by_attrs, changes.schema, self.fold_after)
         if self.table:
-            folder = batch_folder(self.table, self.stream_name, batch_id)
-            points.write.mode("overwrite").parquet(folder)
+            table.commit(folder, points.schema, self.stream_name, batch_id)
         if self.on_batch:
             self.on_batch(points, batch_id)
         if self.jsonl:
@@ -182,4 +213,4 @@ def run_ingest(requests: DataFrame, checkpoint: str, **options) -> StreamingQuer
 
 def read_series(spark: SparkSession, path: str) -> DataFrame:
     """Latest sample per series from the changes an ingest wrote."""
-    return merge_latest(spark.read.parquet(path).drop("stream", "batch_id"))
+    return merge_latest(CommitLog(spark, path).read(CHANGES))

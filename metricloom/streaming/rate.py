@@ -10,6 +10,9 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 log = logging.getLogger(__name__)
 
+#: Name and members of what an ingest observes of each batch.
+OBSERVED, POINTS, REJECTED = "metricloom_ingest", "points", "rejected"
+
 
 def ingest_rate(
     df: DataFrame, ts_col: str, interval_seconds: int = 5, late: str | None = None
@@ -32,15 +35,16 @@ def ingest_rate(
 
 
 class IngestRateLog(StreamingQueryListener):
-    """Logs new rows and rows/s about every ``interval`` seconds.
+    """Logs new points and points/s about every ``interval`` seconds.
 
-    Silent before the first data and while nothing arrives. Register with
-    ``spark.streams.addListener``.
+    An ingest tells how many points its requests held, and how many requests it
+    rejected; of another query its input rows count. Silent before the first
+    data and while nothing arrives. Register with ``spark.streams.addListener``.
     """
 
     def __init__(self, interval: float = 5.0, clock=time.monotonic):
         self.interval, self.clock = interval, clock
-        self.total = self.reported = 0
+        self.total = self.reported = self.rejected = 0
         self.since: float | None = None
         self.reports: list[tuple[int, float]] = []
 
@@ -54,7 +58,12 @@ class IngestRateLog(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event) -> None:
-        self.add(event.progress.numInputRows)
+        told = event.progress.observedMetrics.get(OBSERVED)
+        if told is None:
+            self.add(event.progress.numInputRows)
+        else:
+            self.rejected += told[REJECTED] or 0
+            self.add(told[POINTS] or 0)
 
     def add(self, rows: int) -> None:
         now = self.clock()
