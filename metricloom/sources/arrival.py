@@ -29,7 +29,7 @@ def staged(points: DataFrame) -> Iterator[DataFrame]:
     try:
         yield points.sparkSession.read.parquet(path)
     finally:
-        Files(points.sparkSession, path).delete(path)
+        Files(points.sparkSession).delete(path)
 
 
 def numbered(kept: DataFrame, base: int = 0) -> DataFrame:

@@ -24,7 +24,7 @@ def read_points(
         return spark.read.schema(METRIC_SCHEMA).parquet(path).select(*METRIC_SCHEMA.fieldNames())
     files = None
     if first is not None or last is not None:
-        files = first_files(log.live(), first if first is not None else last, latest=first is None)
+        files = first_files(log.data_files(), first if first is not None else last, latest=first is None)
     return log.read(METRIC_SCHEMA, files).select(*METRIC_SCHEMA.fieldNames())
 
 

@@ -75,7 +75,7 @@ class Ingest:
     bad requests, which give no points.
 
     ``flush_points`` cuts the table's batches into units of that many points and
-    a rest, each in its own files (``CommitLog.batches`` lists them); 0 does not.
+    a rest, each in its own files (``CommitLog.units`` lists them); 0 does not.
 
     ``max_rows`` stops the stream after the batch that reaches it. A batch that
     comes before the stop takes effect fails with ``CapReached``, so it is not
@@ -134,10 +134,8 @@ class Ingest:
         base = self._first_id + (batch_id << BATCH_ID_BITS)
         if not self.table:
             return base
-        mine = CommitLog(spark, self.table).entries().where(
-            (F.col("stream") == self.stream_name) & (F.col("batch_id") < batch_id)
-        )
-        return max(base, mine.agg(F.max("last_id")).first()[0] or 0)
+        held = CommitLog(spark, self.table).commits()
+        return max([base, *(c.last_id for c in held if c.stream == self.stream_name and c.batch_id < batch_id)])
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         if self.full.is_set():
@@ -148,11 +146,10 @@ class Ingest:
                 good = accepted(kept)
                 if self.rejects:
                     self._append(self.rejects, rejected(kept), batch_id)
-            rows = good.count()
-            if rows:
+            if not good.isEmpty():
                 if "id" not in good.columns:
                     good = numbered(good, self._start_id(batch.sparkSession, batch_id))
-                self._write_sinks(conform(good), rows, batch_id)
+                self._write_sinks(conform(good), batch_id)
         if self.max_rows and self.total >= self.max_rows:
             log.info("%d rows reached the cap of %d", self.total, self.max_rows)
             self.full.set()
@@ -162,7 +159,7 @@ class Ingest:
         commits.append(rows, self.stream_name, batch_id)
         return commits
 
-    def _write_sinks(self, points: DataFrame, rows: int, batch_id: int) -> None:
+    def _write_sinks(self, points: DataFrame, batch_id: int) -> None:
         spark = points.sparkSession
         if self.table:
             # The files are written first and read by the other sinks; the commit shows them.
@@ -171,14 +168,17 @@ class Ingest:
             if self.flush_points:
                 least = points.agg(F.min("id").alias("least")).scalar()
                 unit = F.floor((F.col("id") - least) / self.flush_points)
-            folder = table.write(points, self.stream_name, batch_id, unit)
-            points = spark.read.schema(points.schema).option("recursiveFileLookup", "true").parquet(folder)
+            files = table.write(points, self.stream_name, batch_id, unit)
+            rows = sum(f.rows for f in files)
+            points = table.read(points.schema, files)
+        else:
+            rows = points.count()
         if self.series:
             changes = latest_by_attrs(points)
             commits = self._append(self.series, changes, batch_id)
             commits.fold(fold_by_attrs, changes.schema, self.fold_after)
         if self.table:
-            table.commit(folder, points.schema, self.stream_name, batch_id)
+            table.commit(files, self.stream_name, batch_id)
         if self.on_batch:
             self.on_batch(points, batch_id)
         if self.jsonl:
