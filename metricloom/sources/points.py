@@ -28,6 +28,11 @@ def read_points(
     return log.read(METRIC_SCHEMA, files).select(*METRIC_SCHEMA.fieldNames())
 
 
+def max_id(spark: SparkSession, path: str) -> int:
+    """Highest arrival id in the table, 0 when it is empty or does not exist; told by its commits."""
+    return CommitLog(spark, path).last_id()
+
+
 def conform(points: DataFrame) -> DataFrame:
     """Exactly the table's columns and types; absent columns are NULL."""
     return points.select(
