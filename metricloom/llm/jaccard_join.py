@@ -3,10 +3,17 @@
 Two sets of sizes a and b with Jaccard similarity t or more differ in at most
 (a + b)(1 - t)/(1 + t) elements. Sizes are cut into bands; for the largest
 difference k of a band the feature domain is cut into ``n1`` partitions of three
-blocks each, n1 = floor(k / 2) + 1. One partition then holds at most one
-difference, so two of its three blocks are equal: the signatures are all pairs
+blocks each, n1 = floor(k / 2) + g. At least g partitions then hold at most one
+difference, so two of their three blocks are equal: the signatures are all pairs
 of blocks of each partition. A set takes part in its own band and in those of
 larger sets it may still be similar to.
+
+Pairs of blocks with few elements are what unrelated sets share. A set leaves
+out its pairs of up to t elements, t being the largest size for which fewer than
+g of its partitions have such a pair. That loses no similar set: of two such
+sets take the one with the larger t. Equal pairs have equal sizes, so those left
+out by either lie in fewer than g partitions, and an equal pair remains that
+both keep.
 """
 
 from __future__ import annotations
@@ -17,15 +24,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from metricloom.llm.batches import text_slices
 from metricloom.llm.components import components
 from metricloom.llm.words import blocks, grams, mix
 from metricloom.sources.scratch import written
 
 #: Sizes in one band differ by this factor at most.
 BAND = 1.4
+#: Partitions beyond those that differences can spoil: one, and one more for so many differences.
+SPARE = 6
 #: 64-bit words of the parity sketch by which far pairs are told apart without their texts.
 SKETCH = 8
 #: Digests of sets a task remembers so that copies are signed once.
@@ -75,16 +85,21 @@ def signatures(elements: np.ndarray, threshold: int) -> np.ndarray:
             if k == 0:
                 out.append(mix(np.array([elements.sum() + np.uint64(band)], np.uint64)))
                 continue
-            n1 = k // 2 + 1
+            spare = 1 + -(-k // SPARE)
+            n1 = k // 2 + spare
             scrambled = mix(elements ^ _SALT)
             block = (scrambled % np.uint64(3 * n1)).astype(np.int64)
             low = np.bincount(block, (elements & np.uint64(0xFFFFFFFF)).astype(float), 3 * n1)
             high = np.bincount(block, (elements >> np.uint64(32)).astype(float), 3 * n1)
             sums = low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(32))
             sums = mix(sums).reshape(n1, 3)
+            held = np.bincount(block, minlength=3 * n1).reshape(n1, 3)
+            held = np.stack([held[:, x] + held[:, y] for x, y in _PAIRS])
+            few = np.partition(held.min(axis=0), spare - 1)[spare - 1] - 1
             place = mix(np.arange(n1, dtype=np.uint64) + np.uint64(band << 32))
             for j, (x, y) in enumerate(_PAIRS):
-                out.append(mix(sums[:, x] + np.uint64(3) * sums[:, y] + place + np.uint64(j)))
+                all_ = mix(sums[:, x] + np.uint64(3) * sums[:, y] + place + np.uint64(j))
+                out.append(all_[held[j] > few])
     return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
 
 
@@ -92,30 +107,43 @@ def _digest(elements: np.ndarray) -> bytes:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest()
 
 
-def _sign(k: int, threshold: int):
-    schema = pa.schema([("at", pa.int64()), ("n", pa.int64()), ("set", pa.binary()), ("signs", pa.list_(pa.int64()))])
+def _sets(k: int):
+    """Rows as ``(key, n, set)``: size and digest of the set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
-            n, sets, signs = [], [], []
+            n, sets = [], []
             for elements in shingle_sets(batch.column("text"), k):
-                digest = _digest(elements)
                 n.append(len(elements))
-                sets.append(digest if len(elements) else None)
-                signs.append(signatures(elements, threshold) if len(elements) and digest not in seen else None)
+                sets.append(_digest(elements) if len(elements) else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array(n, pa.int64()), pa.array(sets, pa.binary())], names=["key", "n", "set"]
+            )
+
+    return run
+
+
+def _signs(k: int, threshold: int):
+    """Texts as ``(sign, c)``, a row for each signature; copies that a task meets again are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in text_slices(batches):
+            signs, classes = [], []
+            for elements in shingle_sets(batch.column("text"), k):
+                digest = _digest(elements)
+                if not len(elements) or digest in seen:
+                    continue
                 if len(seen) >= REMEMBER:
                     seen.clear()
                 seen.add(digest)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key"),
-                    pa.array(n, pa.int64()),
-                    pa.array(sets, pa.binary()),
-                    pa.array(signs, pa.list_(pa.int64())),
-                ],
-                names=["key", *schema.names[1:]],
-            )
+                own = signatures(elements, threshold)
+                signs.append(own)
+                classes.append(np.full(len(own), int.from_bytes(digest[:8], "big", signed=True)))
+            if signs:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(signs)), pa.array(np.concatenate(classes))], names=["sign", "c"]
+                )
 
     return run
 
@@ -188,16 +216,16 @@ def jaccard_components(
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     key_type = rows.schema["key"].dataType.simpleString()
-    base = written(
-        rows.mapInArrow(_sign(shingle, threshold), f"key {key_type}, n long, set binary, signs array<long>")
-    )
-    signed = (
-        base.where("signs IS NOT NULL")
-        .select(F.explode("signs").alias("sign"), _short("set").alias("c"))
-        .repartition("sign")
+    base = written(rows.mapInArrow(_sets(shingle), f"key {key_type}, n long, set binary"))
+    group = Window.partitionBy("sign")
+    signed = rows.select("text").mapInArrow(_signs(shingle, threshold), "sign long, c long")
+    members = written(
+        signed.withColumn("least", F.min("c").over(group))
+        .withColumn("last", F.max("c").over(group))
+        .where("least < last")
+        .select("sign", "c")
+        .distinct()
     )
-    several = signed.groupBy("sign").agg(F.min("c").alias("least"), F.max("c").alias("last")).where("least < last")
-    members = written(signed.join(several.select("sign"), "sign").distinct())
     shared = members.groupBy("c").agg(F.count("*").alias("shared"))
     classes = written(
         base.where("set IS NOT NULL")
@@ -260,14 +288,17 @@ def jaccard_components(
         .where("x < y")
         .select("sign")
     )
-    rest = written(placed.join(open_signs, "sign", "left_semi").join(sketches, "c"))
-    left = rest.select("sign", "hub", *(F.col(x).alias(f"{x}_a") for x in rest.columns if x not in ("sign", "hub")))
-    right = rest.select("sign", *(F.col(x).alias(f"{x}_b") for x in rest.columns if x not in ("sign", "hub")))
+    # Only short columns go through the self-join; sketches join the distinct pairs it gives.
+    rest = written(placed.where("c <> hub").join(open_signs, "sign", "left_semi").select("sign", "c", "component"))
     pairs = (
-        left.join(right, "sign")
-        .where(f"c_a < c_b AND component_a <> component_b AND c_a <> hub AND c_b <> hub AND {near}")
+        side(rest, "a")
+        .join(side(rest, "b"), F.expr("sign_a = sign_b AND c_a < c_b AND component_a <> component_b"))
         .select("c_a", "c_b")
         .distinct()
+        .join(side(sketches, "a"), "c_a")
+        .join(side(sketches, "b"), ["c_b"])
+        .where(near)
+        .select("c_a", "c_b")
     )
     more = written(tested(pairs))
     labels = components(links.unionByName(more)) if more.take(1) else labels
