@@ -13,9 +13,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose score is under the limit; null and empty texts stay."""
+    """Rows whose score is under the limit; null and empty texts stay.
+
+    Columns other than ``COLUMNS`` are left out, here and in the later stages,
+    whatever their names. An empty table stays empty.
+    """
     index = queries.toxicity_index(spark, sf_dir)
-    return toxicity.with_toxicity(docs, index).where(F.col("score") < queries.TOXIC).select(COLUMNS)
+    return toxicity.with_toxicity(docs.select(COLUMNS), index).where(F.col("score") < queries.TOXIC).select(COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +30,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     without words are linked with nothing and stay.
     """
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    tagged = docs.withColumn("digest", digest)
+    tagged = docs.select(COLUMNS).withColumn("digest", digest)
     groups = jaccard_join.jaccard_components(
         tagged.select(F.struct("doc_id", "digest").alias("key"), "text"), "key", "text", shingle=5, threshold=80
     )
@@ -38,7 +42,8 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold no benchmark item."""
+    """Rows that hold no benchmark item; null and empty texts hold none and stay."""
+    docs = docs.select(COLUMNS)
     digest = F.sha2("text", 256)
     leaks = decontaminate.find_leaks(
         docs.select(digest.alias("digest"), "text"), queries.table(spark, sf_dir, "benchmark"), key="digest"
@@ -54,7 +59,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, ids, n_tokens, decoded_sha256)`` of every row."""
+    """``(doc_id, ids, n_tokens, decoded_sha256)`` of every row; a null text is an empty one."""
     done = bpe.encode_decode(docs, queries.vocabulary("word_bpe_49k.json"))
     return done.select(
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256")
