@@ -288,17 +288,17 @@ def jaccard_components(
         .where("x < y")
         .select("sign")
     )
-    # Only short columns go through the self-join; sketches join the distinct pairs it gives.
-    rest = written(placed.where("c <> hub").join(open_signs, "sign", "left_semi").select("sign", "c", "component"))
+    rest = written(
+        placed.where("c <> hub")
+        .join(open_signs, "sign", "left_semi")
+        .select("sign", "c", "component")
+        .join(sketches, "c")
+    )
     pairs = (
         side(rest, "a")
-        .join(side(rest, "b"), F.expr("sign_a = sign_b AND c_a < c_b AND component_a <> component_b"))
+        .join(side(rest, "b"), F.expr(f"sign_a = sign_b AND c_a < c_b AND component_a <> component_b AND {near}"))
         .select("c_a", "c_b")
         .distinct()
-        .join(side(sketches, "a"), "c_a")
-        .join(side(sketches, "b"), ["c_b"])
-        .where(near)
-        .select("c_a", "c_b")
     )
     more = written(tested(pairs))
     labels = components(links.unionByName(more)) if more.take(1) else labels
