@@ -2,7 +2,7 @@
 
 Two words one edit apart differ by at most two in squared distance of their
 letter counts, and by at most one in length. Words are cut into blocks by length
-and by how many of their letters fall into two fixed letter groups, which one
+and by how many of their letters fall into a few fixed letter groups, which one
 edit changes by one at most. Squared distances of two neighbouring blocks come
 from one NumPy matrix product; pairs at most two apart are then verified as
 edits. Every pair of words one edit apart meets in exactly one block pair.
@@ -31,9 +31,8 @@ DELETE_ONE_IN = 31
 
 #: Letters that runs are made of.
 LETTERS = r"A-Za-zÀ-ÿ"
-#: Two letter groups by which cells are cut, chosen to hold about a third of running text each.
-GROUP_A = "eaivwxyz"
-GROUP_B = "otnjkpq"
+#: Letter groups by which cells are cut, chosen to hold about a quarter of running text each.
+GROUPS = {"a": "eaivwxyz", "b": "otnjkpq", "c": "rslh"}
 
 _FIRST = 0xC0
 _COLUMNS = 26 + 64
@@ -108,9 +107,20 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-#: A cell and those of its neighbours in which an edit may put a word of it: equal length, each
-#: unordered pair of cells once, then one letter more.
-_MOVES = ((0, 0, 0), (0, 1, -1), (0, 1, 0), (0, 0, 1), (1, 0, 0), (1, 1, 0), (1, 0, 1))
+_CELL = ["size", *GROUPS]
+
+
+def _moves() -> list[tuple[int, ...]]:
+    """A cell, and the steps to those of its neighbours in which an edit may put a word of it.
+
+    A replaced letter goes from one group (or none) to another: of both ways one
+    step, so each two cells meet once. An inserted one makes the word longer and
+    falls into one group or none.
+    """
+    steps = [tuple(int(i == at) for i in range(len(GROUPS))) for at in range(len(GROUPS))]
+    none = (0,) * len(GROUPS)
+    swaps = [tuple(x - y for x, y in zip(p, q, strict=True)) for at, p in enumerate(steps) for q in (*steps[at + 1 :], none)]
+    return [(0, *none), *((0, *swap) for swap in swaps), *((1, *step) for step in (none, *steps))]
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -124,9 +134,9 @@ def near_words(words: DataFrame) -> DataFrame:
     def held(group: str):
         return F.length("word") - F.length(F.translate("word", group, ""))
 
-    cell = ["size", "a", "b"]
+    cell = _CELL
     placed = words.select(
-        "word", "n", F.length("word").alias("size"), held(GROUP_A).alias("a"), held(GROUP_B).alias("b")
+        "word", "n", F.length("word").alias("size"), *(held(letters).alias(c) for c, letters in GROUPS.items())
     )
     cells = written(
         placed.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
@@ -137,13 +147,13 @@ def near_words(words: DataFrame) -> DataFrame:
         .groupBy(*cell, "part")
         .agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("counts"))
     )
-    moves = F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(cell, m, strict=True))) for m in _MOVES))
+    moves = F.array(*(F.struct(*(F.lit(x).alias(c) for c, x in zip(cell, m, strict=True))) for m in _moves()))
     beside = (
         blocks.select(*cell, "part", F.explode(moves).alias("move"))
         .select(
             *(F.col(c).alias(f"{c}_a") for c in (*cell, "part")),
             *((F.col(c) + F.col(f"move.{c}")).alias(c) for c in cell),
-            F.expr("move.size = 0 AND move.a = 0 AND move.b = 0").alias("own"),
+            F.expr(" AND ".join(f"move.{c} = 0" for c in cell)).alias("own"),
         )
         .join(cells, cell)
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
