@@ -165,7 +165,7 @@ def test_spellings(spark, monkeypatch):
         return [w[:i] + c + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + c + w[i:]][int(pick.integers(3))]
 
     words = base * 60 + [v for w in base for v in (variant(w), variant(w), variant(variant(w))) for _ in range(int(pick.integers(1, 6)))]
-    words += ["chained" + "s" * k for k in range(1, 4) for _ in range(2 * 11**k)] + ["ABCDEFG", "abcdefg", "ÉABCDEFG", "éABCDEFG"] * 3
+    words += ["chained" + "s" * k for k in range(1, 4) for _ in range(2 * 14**k)] + ["ABCDEFG", "abcdefg", "ÉABCDEFG", "éABCDEFG"] * 3
     pick.shuffle(words)
     texts = [(i, " ".join(words[i * 50 : i * 50 + 50])) for i in range(len(words) // 50 + 1)]
     texts += [(900, None), (901, ""), (902, "12 !? a b"), (None, "unkeyed unkeyed"), (903, "x" * 100_000), texts[3]]
