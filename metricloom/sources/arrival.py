@@ -42,7 +42,9 @@ def numbered(kept: DataFrame, base: int = 0) -> DataFrame:
     them under its threshold and shuffles beyond.
     """
     key = [c for c in SPLIT_COLUMNS if c in kept.columns] or ["_part"]
-    counts = kept.groupBy(*key).agg(F.count("*").alias("n"), F.min("_seq").alias("first"))
+    # The span of a split, so that rows left out since leave gaps and never make ids meet.
+    span = (F.max("_seq") - F.min("_seq") + 1).alias("n")
+    counts = kept.groupBy(*key).agg(span, F.min("_seq").alias("first"))
     before = F.sum("n").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1))
     shift = F.coalesce(before, F.lit(0)) + base + 1 - F.col("first")
     starts = written(counts.select(*key, shift.alias("_shift")))
