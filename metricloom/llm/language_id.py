@@ -36,6 +36,14 @@ def windows(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of all texts laid end to end with padding, and where each text's windows start and end."""
+    data = np.frombuffer(b"".join([x for t in texts for x in (_PAD, t)]), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    starts = np.cumsum(sizes + ORDER) - sizes - ORDER
+    return windows(data), starts, starts + sizes
+
+
 @dataclass
 class ContextTree:
     """Frozen statistics of one language: per order the code lengths of symbols and of escapes.
@@ -105,11 +113,7 @@ class LanguageModels:
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
-        data = np.frombuffer(b"".join([x for t in texts for x in (_PAD, t)]), np.uint8)
-        sizes = np.array([len(t) for t in texts])
-        window = windows(data)
-        # Windows that end in padding belong to no text.
-        starts = np.cumsum(sizes + ORDER) - sizes - ORDER
+        window, starts, ends = windows_of(texts)
         at = self.slot[self._place(window)]
         strange = self.known[at] != window
         bits = self.bits[at]
@@ -118,7 +122,8 @@ class LanguageModels:
             bits[strange] = self._lengths(odd)[back]
         sums = np.zeros((len(bits) + 1, bits.shape[1]))
         np.cumsum(bits, axis=0, dtype=np.float64, out=sums[1:])
-        return sums[starts + sizes] - sums[starts]
+        # Windows that end in padding belong to no text.
+        return sums[ends] - sums[starts]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lettered = [t is not None and _LETTER.search(t) is not None for t in texts]
@@ -143,8 +148,9 @@ def fit_languages(
 
     Each language learns from about ``sample_bytes`` / (number of languages)
     bytes: pieces of ``PIECE`` code points at most, taken by their hash, and at
-    least the one of least hash. Copies of a piece share its hash and count as one
-    in the rate. Windows are counted and summed by Spark; what comes to the driver
+    least the one of least hash. Copies of a piece share its hash, count as one
+    in the rate and are learned once, so a common piece takes no more of the sample
+    than a rare one. How rows lie in partitions does not matter. Windows are counted and summed by Spark; what comes to the driver
     is bounded by ``sample_bytes`` and a piece per language.
     """
     rows = docs.where(F.col(lang).isNotNull() & (F.col(text) != "")).select(
@@ -173,8 +179,9 @@ def fit_languages(
             for name, value in zip(batch.column("lang").to_pylist(), texts_of(batch), strict=True):
                 own.setdefault(name, []).append(value.encode())
             for name, texts in own.items():
-                data = np.frombuffer(b"".join([x for t in texts for x in (_PAD, t)]), np.uint8)
-                found, n = np.unique(windows(data), return_counts=True)
+                window, _, ends = windows_of(texts)
+                padding = (ends[:-1, None] + np.arange(ORDER)).ravel()
+                found, n = np.unique(np.delete(window, padding), return_counts=True)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "lang": pa.array([name] * len(found), pa.string()),
@@ -185,6 +192,7 @@ def fit_languages(
 
     counted = (
         rows.where(share <= rate[F.col("lang")])
+        .distinct()
         .mapInArrow(run, "lang string, w long, n long")
         .groupBy("lang", "w")
         .agg(F.sum("n").alias("n"))

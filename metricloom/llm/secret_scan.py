@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,18 +59,34 @@ def weak_parts(text: str, strong: list[Part]) -> list[Part]:
     found: list[Part] = []
     if ":" in text or "=" in text:
         found += [("account", *m.span()) for m in _ACCOUNT.finditer(text)]
-    taken = strong + found
+    taken = _covered(strong + found)
     for m in _KEY.finditer(text):
         if _DIGIT.search(m[0]) and _LETTER.search(m[0]) and not _overlaps(m.span(), taken):
             found.append(("key", *m.span()))
     if "://" in text:
         found += [("endpoint", *m.span()) for m in _URL.finditer(text)]
     found += [("endpoint", *m.span()) for m in _ADDRESS.finditer(text)]
-    return [p for p in found if not _overlaps(p[1:], strong)]
+    covered = _covered(strong)
+    return [p for p in found if not _overlaps(p[1:], covered)]
 
 
-def _overlaps(span: tuple[int, int], others: list[Part]) -> bool:
-    return any(span[0] < e and s < span[1] for _, s, e in others)
+def _covered(parts: list[Part]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the parts cover together, as rising stretches apart from each other."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for _, start, stop in sorted(parts, key=lambda p: p[1]):
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], stop)
+        else:
+            starts.append(start)
+            ends.append(stop)
+    return starts, ends
+
+
+def _overlaps(span: tuple[int, int], covered: tuple[list[int], list[int]]) -> bool:
+    starts, ends = covered
+    at = bisect_left(starts, span[1]) - 1
+    return at >= 0 and ends[at] > span[0]
 
 
 def find_parts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -73,7 +73,11 @@ class PieceCounter:
         return np.where(self.keys[at] == keys, at, -1)
 
     def count_words(self, words: list[str]) -> np.ndarray:
-        """Tokens of each pre-token: every sequence applies its best pair in each round."""
+        """Tokens of each pre-token: every sequence applies its lowest-ranked pair in each round.
+
+        All occurrences that do not overlap are applied at once, from the left up to
+        the first that makes a pair of lower rank: that one comes first then.
+        """
         n = len(words)
         lengths = np.array([len(w) for w in words], np.int64)
         points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
@@ -96,32 +100,54 @@ class PieceCounter:
         rank = np.where(pair >= 0, self.rank[pair], none >> 32)
         starts = np.cumsum(lengths[lengths > 0]) - lengths[lengths > 0]
         while len(symbols):
-            width = len(symbols)
-            best = np.minimum.reduceat(rank * width + np.arange(width), starts)
-            live = best < (none >> 32) * width
-            at = best[live] % width
+            sizes = np.diff(np.r_[starts, len(symbols)])
+            least = np.minimum.reduceat(rank, starts)
+            live = least < none >> 32
             # Sequences without a pair are finished and leave.
             if not live.all():
-                stay = np.repeat(live, np.diff(np.r_[starts, width]))
-                at = (np.cumsum(stay) - 1)[at]
+                stay = np.repeat(live, sizes)
                 symbols, own, last, pair, rank = (x[stay] for x in (symbols, own, last, pair, rank))
                 if not len(symbols):
                     break
-            symbols[at] = self.merged[pair[at]]
+                sizes, least = sizes[live], least[live]
+            at = np.flatnonzero(rank == np.repeat(least, sizes))
+            # Of occurrences that overlap in a row, every other one.
+            order = np.arange(len(at))
+            head = np.r_[True, np.diff(at) != 1]
+            at = at[(order - np.maximum.accumulate(np.where(head, order, 0))) % 2 == 0]
+            made = self.merged[pair[at]]
+            if len(at) > len(least):
+                keep = self._in_turn(symbols, own, last, at, made, rank[at])
+                at, made = at[keep], made[keep]
+            symbols[at] = made
             last[at] = last[at + 1]
-            totals[own[at]] -= 1
+            totals -= np.bincount(own[at], minlength=n)
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
             at = at - np.arange(len(at))
             symbols, own, last, pair, rank = (x[keep] for x in (symbols, own, last, pair, rank))
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-            # Only the merged symbol's own pair and the one before it have changed.
+            # Only the merged symbols' own pairs and the ones before them have changed.
             i = np.r_[at, at[at > 0] - 1]
             right = np.minimum(i + 1, len(symbols) - 1)
             pair[i] = np.where(last[i], -1, self._pairs(symbols[i], symbols[right]))
             rank[i] = np.where(pair[i] >= 0, self.rank[pair[i]], none >> 32)
         return totals + extra
 
+    def _in_turn(self, symbols, own, last, at, made, rank) -> np.ndarray:
+        """Which merges at ``at`` come before any pair of lower rank that an earlier one of its sequence makes."""
+        before, after = np.maximum(at - 1, 0), np.minimum(at + 2, len(symbols) - 1)
+        left = symbols[before]
+        beside = np.flatnonzero(np.diff(at) == 2) + 1
+        left[beside] = made[beside - 1]
+        pairs = np.where((at > 0) & (own[before] == own[at]), self._pairs(left, made), -1)
+        lower = (pairs >= 0) & (self.rank[pairs] <= rank)
+        pairs = np.where(last[at + 1], -1, self._pairs(made, symbols[after]))
+        lower |= (pairs >= 0) & (self.rank[pairs] <= rank)
+        earlier = np.cumsum(lower) - lower
+        first = np.flatnonzero(np.r_[True, own[at][1:] != own[at][:-1]])
+        return earlier == np.repeat(earlier[first], np.diff(np.r_[first, len(at)]))
+
     def count(self, texts: list[str]) -> list[int]:
         cut = [self.pattern.findall(_SPACE + t.replace(" ", _SPACE)) if t else [] for t in texts]
         flat = list(itertools.chain.from_iterable(cut))

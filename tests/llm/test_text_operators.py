@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -142,6 +143,33 @@ def test_secret_scan(spark, empty):
     assert "AKIAAKIA" not in clean[2]["text"] and clean[4]["text"] == SECRETS[4]
 
 
+def seconds_of(work, *values):
+    """Least seconds of three runs for each value."""
+    out = []
+    for value in values:
+        took = []
+        for _ in range(3):
+            start = time.perf_counter()
+            work(value)
+            took.append(time.perf_counter() - start)
+        out.append(min(took))
+    return out
+
+
+def test_secret_parts_of_a_long_text_take_linear_time():
+    def full(n):
+        return " ".join(f"{i:016x} Key{i:017d}Z user: name{i} https://host{i}.example/a" for i in range(n))
+
+    half, whole = seconds_of(lambda t: secret_scan.weak_parts(t, secret_scan.strong_parts(t)), full(6000), full(12000))
+    assert whole < 3 * half
+    spans = [("hex", s, s + n) for s, n in ((40, 5), (3, 4), (5, 6), (11, 1), (20, 2))]
+    covered = secret_scan._covered(spans)
+    for start in range(50):
+        for stop in range(start + 1, 52):
+            slow = any(start < e and s < stop for _, s, e in spans)
+            assert secret_scan._overlaps((start, stop), covered) == slow
+
+
 def test_secret_scope_is_the_gap_between_parts(spark):
     long = "Ab1" * 100
     texts = [
@@ -207,6 +235,25 @@ def test_token_counts_agree_with_library(docs, empty):
     assert token_counts.count_tokens(empty, path).count() == 0
 
 
+def test_token_counts_of_unspaced_texts():
+    import sentencepiece
+
+    path = queries.vocabulary("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    pick = random.Random(5)
+    texts = [
+        "".join(pick.choice(letters) for _ in range(n))
+        for letters in ("etaoinshrdlu", "ab", "the", "a\u00e0\u00e9\u6587x1", "=-_a")
+        for n in (2, 7, 40, 300, 5000)
+        for _ in range(12 if n < 5000 else 1)
+    ]
+    assert token_counts.PieceCounter(path).count(texts) == [len(x) for x in library.encode(texts)]
+    counter = token_counts.PieceCounter(path)
+    words = ["".join(pick.choice("etaoinshrdlu") for _ in range(n)) for n in (60_000, 120_000)]
+    half, whole = seconds_of(lambda w: counter.count_words([w]), *words)
+    assert whole < 3 * half
+
+
 def test_tiles_do_not_mind_order():
     pa_words = pa.array([" ".join(BASE), " ".join([*some_words(5, 20), *BASE[30:], *some_words(6, 9), *BASE[:30]])])
     test, text = decontaminate.word_hashes(pa_words)
@@ -313,6 +360,23 @@ def test_each_language_has_training_text(spark):
     assert len(few.known) <= 5 * (language_id.PIECE + 3)
 
 
+def test_languages_do_not_depend_on_partitions(spark):
+    rows = [(name, " ".join(some_words(50 + i * 7 + j, 30 + j))) for i, name in enumerate("abc") for j in range(60)]
+    # Copies of a piece are learned once.
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    fits = [
+        language_id.fit_languages(d)
+        for d in (docs.repartition(1), docs.repartition(16), docs.union(docs).repartition(5, "text"))
+    ]
+    for fit in fits[1:]:
+        assert fit.names == fits[0].names
+        assert np.array_equal(fit.known, fits[0].known) and np.array_equal(fit.bits, fits[0].bits)
+    first = {t for name, t in rows if name == "a"}
+    data = [language_id._PAD + t.encode() for t in first]
+    met = {int.from_bytes(d[i - language_id.ORDER : i + 1]) for d in data for i in range(language_id.ORDER, len(d))}
+    assert set(fits[0].trees[0].symbols[language_id.ORDER][0].tolist()) == met
+
+
 def test_code_lengths_match_a_walk_of_the_tree():
     data = b"\n\n\nabracadabra abracadabra"
     window, count = np.unique(language_id.windows(np.frombuffer(data, np.uint8)), return_counts=True)
