@@ -7,7 +7,7 @@ import re
 import time
 from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import (
     fmt_f64,
@@ -472,7 +472,7 @@ def range_(
 def envelope(result: DataFrame, result_type: str) -> DataFrame:
     """One JSON result element per row of ``instant`` (vector) or ``range_`` (matrix).
 
-    A matrix element holds one sample; a series has as many elements as samples.
+    A matrix element holds one sample; ``matrix`` gives elements of many.
     """
     if result_type not in ("vector", "matrix"):
         raise ValueError("result_type is vector or matrix")
@@ -485,3 +485,50 @@ def envelope(result: DataFrame, result_type: str) -> DataFrame:
         F.lit(result_type).alias("resultType"),
         F.expr(element).alias("result"),
     )
+
+
+#: Ids of a block in which the samples of a series are counted, and blocks of a stretch.
+_BLOCK_BITS, _STRETCH_BITS = 16, 12
+
+
+def matrix(result: DataFrame, samples: int = 1000) -> DataFrame:
+    """JSON matrix elements of ``range_`` with history: each series in chunks of ``samples`` samples.
+
+    ``chunk`` numbers the elements of a series from 0; all but its last hold
+    exactly ``samples`` samples, in order of arrival. Samples are numbered from
+    counts per block of ids, so no task sees more of a series than one block of
+    samples, one stretch of block counts or one chunk, however hot it is.
+    """
+    if samples < 1:
+        raise ValueError("samples must be at least 1")
+    block = F.shiftright("id", _BLOCK_BITS)
+    stretch = F.shiftright("id", _BLOCK_BITS + _STRETCH_BITS)
+    rows = result.select("id", *SERIES, "metric", "point", block.alias("block"))
+
+    def before(counts: DataFrame, within: list[str], order: str, name: str) -> DataFrame:
+        earlier = Window.partitionBy(*within).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn(name, F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+
+    counts = written(
+        result.groupBy(*SERIES, block.alias("block"), stretch.alias("stretch")).agg(F.count("*").alias("n"))
+    )
+    long = counts.groupBy(*SERIES, "stretch").agg(F.sum("n").alias("n"))
+    long = before(long, SERIES, "stretch", "far").drop("n")
+    starts = (
+        before(counts, [*SERIES, "stretch"], "block", "near")
+        .join(long, [*SERIES, "stretch"])
+        .select(*SERIES, "block", (F.col("far") + F.col("near")).alias("start"))
+    )
+    inside = F.row_number().over(Window.partitionBy(*SERIES, "block").orderBy("id"))
+    values = F.transform(F.array_sort(F.collect_list(F.struct("id", "point"))), lambda s: s["point"])
+    element = F.concat(
+        F.lit('{"metric":'), F.first("metric"), F.lit(',"values":['), F.concat_ws(",", values), F.lit("]}")
+    )
+    return (
+        rows.withColumn("inside", inside)
+        .join(starts, [*SERIES, "block"])
+        .withColumn("chunk", F.floor((F.col("start") + F.col("inside") - 1) / samples))
+        .groupBy(*SERIES, "chunk")
+        .agg(element.alias("result"))
+        .select(F.lit("success").alias("status"), F.lit("matrix").alias("resultType"), "chunk", "result")
+    )

@@ -437,6 +437,25 @@ def series_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named_result(rows)
 
 
+@_register(
+    "SELECT 'success' AS status, 'matrix' AS \"resultType\", chunk, '{\"metric\":' || min(metric) ||"
+    " ',\"values\":[' || string_agg(point, ',' ORDER BY id) || ']}' AS result FROM"
+    " (SELECT *, (row_number() OVER (PARTITION BY labels ORDER BY id) - 1) // 50 AS chunk FROM found)"
+    " GROUP BY labels, chunk",
+    POINTS, SAMPLES, HISTORY.format(cutoff=CUTOFF, source="samples"),
+    "found AS ("
+    + RESULT_SQL.format(
+        id="id, ", source="history", more=f" AND timestamp BETWEEN {RANGE[0]} AND {RANGE[1]}"
+    )
+    + ")",
+)
+def series_range_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = series.range_(
+        points(spark, sf_dir), **SELECTION, start=RANGE[0], end=RANGE[1], cutoff=CUTOFF
+    )
+    return series.matrix(rows, samples=50)
+
+
 @_register(RESULT_SQL.format(id="", source="latest", more=""), POINTS, SAMPLES, LATEST)
 def series_range_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named_result(series.range_(points(spark, sf_dir), **SELECTION, start=0.0, end=1.0))

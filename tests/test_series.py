@@ -168,6 +168,25 @@ def test_range_with_history(make_points):
     assert json.loads(element.result)["metric"] == {"__name__": "t"}
 
 
+def test_matrix_chunks(make_points, monkeypatch):
+    monkeypatch.setattr(series, "_BLOCK_BITS", 2)
+    monkeypatch.setattr(series, "_STRETCH_BITS", 1)
+    rows = [gauge("t", float(i), '{"h":"%s"}' % ("hot" if i % 3 else "cold"), ts=i * S) for i in range(60)]
+    kept = series.range_(make_points(rows), "t", start=0, end=100, cutoff=0.0)
+    found = {}
+    for row in series.matrix(kept, samples=7).collect():
+        element = json.loads(row.result)
+        found[element["metric"]["h"], row.chunk] = [float(v) for _, v in element["values"]]
+    for host, values in {
+        "hot": [float(i) for i in range(60) if i % 3], "cold": [float(i) for i in range(60) if not i % 3]
+    }.items():
+        chunks = {c: v for (h, c), v in found.items() if h == host}
+        assert [v for c in sorted(chunks) for v in chunks[c]] == values
+        assert sorted(chunks) == list(range(-(-len(values) // 7)))
+        assert all(len(chunks[c]) == 7 for c in sorted(chunks)[:-1])
+    assert series.matrix(kept.where("id < 0")).count() == 0
+
+
 def test_evicted_series_has_no_value(make_points):
     rows = [
         gauge("t", 1.0, '{"h":"old"}', ts=10 * S), gauge("t", 2.0, '{"h":"new"}', ts=50 * S),
