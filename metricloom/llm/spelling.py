@@ -59,11 +59,11 @@ def planted_runs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def letter_counts(codes: np.ndarray) -> np.ndarray:
     """One row of letter counts per row of code points (0 pads)."""
-    out = np.zeros((len(codes), _COLUMNS), np.float32)
     rows, at = np.nonzero(codes)
     found = codes[rows, at].astype(np.int64)
-    np.add.at(out, (rows, np.where(found >= _FIRST, found - _FIRST + 26, found - 97)), 1)
-    return out
+    column = np.where(found >= _FIRST, found - _FIRST + 26, found - 97)
+    counts = np.bincount(rows * _COLUMNS + column, minlength=len(codes) * _COLUMNS)
+    return counts.reshape(len(codes), _COLUMNS).astype(np.float32)
 
 
 def _codes(words: list[str]) -> np.ndarray:
@@ -71,6 +71,17 @@ def _codes(words: list[str]) -> np.ndarray:
     return np.array(words, f"U{width}").view(np.uint32).reshape(len(words), width)
 
 
+def _differing(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """In how many places word ``i`` of ``a`` and word ``j`` of ``b`` differ, counted up to two.
+
+    A row of ``a`` and ``b`` is a place; ``LETTERS`` are code points of one byte.
+    """
+    out = np.zeros(len(i), np.uint8)
+    for left, right in zip(a.astype(np.uint8), b.astype(np.uint8), strict=True):
+        np.minimum(out + (left[i] != right[j]), 2, out=out, casting="unsafe")
+    return out
+
+
 def near_pairs(left: list[str], right: list[str], same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places of all pairs one edit apart; words of ``right`` have the length of ``left``'s or one more.
 
@@ -78,12 +89,16 @@ def near_pairs(left: list[str], right: list[str], same: bool) -> tuple[np.ndarra
     """
     a, b = _codes(left), _codes(right)
     ca, cb = letter_counts(a), letter_counts(b)
-    apart = (ca * ca).sum(1)[:, None] + (cb * cb).sum(1)[None, :] - 2 * (ca @ cb.T)
-    i, j = np.nonzero(apart <= 2)
+    used = ca.any(axis=0) | cb.any(axis=0)
+    ca, cb = ca[:, used], cb[:, used]
+    # The squared norms ride along as two more columns, so one product gives the distances.
+    x = np.column_stack([-2 * ca, (ca * ca).sum(1), np.ones(len(ca), np.float32)])
+    y = np.column_stack([cb, np.ones(len(cb), np.float32), (cb * cb).sum(1)])
+    i, j = np.divmod(np.flatnonzero(x @ y.T <= 2).astype(np.int32), np.int32(len(cb)))
     if same:
         i, j = i[i < j], j[i < j]
     if a.shape[1] == b.shape[1]:
-        ok = (a[i] != b[j]).sum(1) == 1
+        ok = _differing(a.T, b.T, i, j) == 1
     else:
         # One letter more: what agrees from the front and from the back covers the shorter word.
         front = np.logical_and.accumulate(a[i] == b[j, :-1], axis=1).sum(1)
