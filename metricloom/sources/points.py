@@ -62,12 +62,21 @@ def append_points(points: DataFrame, path: str) -> None:
         log.append(conform(numbered(kept, log.last_id())), "append")
 
 
-def write_analysis_layout(points: DataFrame, path: str, files: int | None = None) -> None:
+#: Rows of a file of the analysis layout at most.
+ROWS_PER_FILE = 4_000_000
+
+
+def write_analysis_layout(
+    points: DataFrame, path: str, files: int | None = None, rows_per_file: int = ROWS_PER_FILE
+) -> None:
     """Rewrite the table for queries by type, name and time.
 
     Folders by type, files split by (type, name, time) ranges and sorted inside,
     so a filter on any of them skips folders, files and row groups. ``id`` ends
     the range key: a name or instant holding most rows is still split evenly.
+    A range of more than ``rows_per_file`` rows is cut into several files in
+    order, so the span of a file does not grow with the table. Bloom filters on
+    the name skip row groups whose range merely spans it.
     """
     keys = ["metric_type", "metric_name", "timestamp_ns", "id"]
     ranged = (
@@ -78,6 +87,8 @@ def write_analysis_layout(points: DataFrame, path: str, files: int | None = None
     (
         ranged.sortWithinPartitions(*keys)
         .write.mode("overwrite")
+        .option("maxRecordsPerFile", rows_per_file)
+        .option("parquet.bloom.filter.enabled#metric_name", "true")
         .partitionBy("metric_type")
         .parquet(path)
     )

@@ -96,6 +96,21 @@ def test_layout_splits_a_hot_name(spark, make_points, tmp_path):
     assert len(sizes) >= 3 and max(sizes) < 250
 
 
+def test_layout_files_do_not_grow_with_the_table(spark, make_points, tmp_path):
+    for n in (100, 200):
+        path = str(tmp_path / str(n))
+        rows = [gauge(ts=(n - i) * S, name=f"m{i % 3}") for i in range(n)]
+        tables.write_analysis_layout(make_points(rows), path, files=1, rows_per_file=20)
+        held = (
+            spark.read.parquet(path).groupBy(F.input_file_name())
+            .agg(F.count("*").alias("rows"), F.min(F.struct("metric_name", "timestamp_ns")).alias("low"),
+                 F.max(F.struct("metric_name", "timestamp_ns")).alias("high"))
+            .orderBy("low").collect()
+        )
+        assert [r.rows for r in held] == [20] * (n // 20)
+        assert all(a.high < b.low for a, b in zip(held, held[1:], strict=False))
+
+
 def test_jsonl(spark, make_points, tmp_path):
     path = str(tmp_path / "j")
     jsonl.write_jsonl(make_points([gauge(dp_attrs='{"host":"node-1"}')]), path)
