@@ -51,17 +51,19 @@ def raw_samples(points: DataFrame, keep: list[str] | None = None) -> DataFrame:
     )
 
 
-def to_samples(points: DataFrame) -> DataFrame:
-    """(id, series_name, labels, timestamp, value, metric_type), one row per sample.
+def to_samples(points: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(id, series_name, labels, timestamp, value, metric_type, *keep), one row per sample.
 
     A histogram gives ``<name>_sum`` and ``<name>_count`` where present; every
     other point gives its double, else its integer, else 0. Narrow: no shuffle.
     """
-    return raw_samples(points).select(
+    carried = list(keep or [])
+    return raw_samples(points, carried).select(
         "id",
         "series_name",
         parse_labels("attrs").alias("labels"),
         "timestamp",
         "value",
         "metric_type",
+        *carried,
     )

@@ -14,6 +14,7 @@ from ..sources import jsonl, points as tables, query as adhoc
 from ..sources.arrival import in_order
 from ..sources.otlp import accepted, parse_otlp, read_otlp, rejected
 from ..sources.scratch import scratch_dir
+from ..streaming.history import read_history, run_history
 from ..streaming.ingest import Ingest, read_series
 from ..streaming.latest import read_latest, run_latest
 from ..streaming.rate import ingest_rate
@@ -732,3 +733,19 @@ def stream_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     ingest.run(_point_stream(spark, sf_dir), available_now=True).awaitTermination()
     stored = tables.read_points(spark, f"{base}/table")
     return _with_label_text(series.series_history(stored, cutoff=CUTOFF))
+
+
+@_register(
+    f"SELECT {HISTORY_COLUMNS} FROM history",
+    POINTS, SAMPLES, HISTORY.format(cutoff=CUTOFF, source="samples"),
+)
+def stream_history_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The retained samples out of a stream's state, after a restart half-way."""
+    base = scratch_dir(spark)
+    rows = points(spark, sf_dir)
+    middle = rows.agg(F.avg("id").alias("middle")).scalar()
+    for part in (F.col("id") <= middle, F.col("id") > middle):
+        rows.where(part).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(METRIC_SCHEMA).parquet(f"{base}/in")
+        run_history(stream, f"{base}/cp", cutoff=CUTOFF, available_now=True).awaitTermination()
+    return _with_label_text(read_history(spark, f"{base}/cp"))

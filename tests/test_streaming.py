@@ -11,6 +11,7 @@ from metricloom.operators import series
 from metricloom.schema import METRIC_SCHEMA
 from metricloom.sources import jsonl, points as tables
 from metricloom.sources.otlp import read_otlp
+from metricloom.streaming.history import read_history, run_history
 from metricloom.streaming.ingest import BATCH_ID_BITS, CapReached, Ingest, read_series, run_ingest
 from metricloom.streaming.latest import read_latest, run_latest
 from metricloom.streaming.rate import IngestRateLog, ingest_rate
@@ -202,3 +203,40 @@ def test_rate_log():
         rate.add(rows)
     # Silent until 5 s after the first data, and when nothing is new.
     assert rate.reports == [(500, 500 / 6), (50, 50 / 11)]
+
+
+@pytest.mark.parametrize("chunk, how", [(3, {"retention": 12.0, "arrival": "arrived"}), (512, {"cutoff": 31.0})])
+def test_state_of_a_stream_holds_the_history(spark, make_points, tmp_path, chunk, how):
+    # Times go up with many late ones; the labels of a series come in two orders.
+    rows = [
+        {"metric_name": f"m{i % 3}", "timestamp_ns": (i - (i * 7 % 11)) * S, "value_double": float(i),
+         "dp_attrs": ('{"a":"1","b":"2"}', '{"b":"2","a":"1"}', None)[i % 5 % 3],
+         "metric_type": ("sum", "gauge")[i % 5 > 0]}
+        for i in range(60)
+    ]
+    points = make_points(rows)
+    arrived = F.col("id").cast("double") + 1
+    folder, cp, changes = str(tmp_path / "in"), str(tmp_path / "cp"), []
+    columns = ["id", "series_name", F.to_json("labels").alias("labels"), "timestamp", "value", "metric_type"]
+    # Three runs on one checkpoint: each starts from the state that the last one left.
+    for upto in (20, 21, 60):
+        last = points.where(F.col("id").between(len(changes) and changes[-1][0] + 1, upto))
+        last.write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(METRIC_SCHEMA).parquet(folder).withColumn("arrived", arrived)
+        seen = []
+        run_history(
+            stream, cp, chunk=chunk, available_now=True, **how,
+            on_batch=lambda df, batch_id, seen=seen: seen.extend(df.collect()),
+        ).awaitTermination()
+        changes.append((upto, seen))
+        sofar = points.where(F.col("id") <= upto).withColumn("arrived", arrived)
+        want = sorted(map(tuple, series.series_history(sofar, **how).select(columns).collect()))
+        assert sorted(map(tuple, read_history(spark, cp).select(columns).collect())) == want
+    assert len(want) < 60
+    everything = [r for _, seen in changes for r in seen]
+    assert sum(r.evicted for r in everything) == 60 - len(want)
+    newest = {(r.series_name, r.label_text): r.kept for r in everything}
+    assert sum(newest.values()) == len(want)
+    assert read_history(spark, cp, batch_id=0).count() == len(
+        series.series_history(points.where("id <= 20").withColumn("arrived", arrived), **how).collect()
+    )
