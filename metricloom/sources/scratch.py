@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name under the shared checkpoint folder.
@@ -29,8 +31,16 @@ def written(df: DataFrame) -> DataFrame:
     an exact size, so a following join is broadcast when the table is under
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffled when it is not; the
     estimate for an aggregate would always say "too large" and shuffle both
-    sides.
+    sides. The shuffle files behind it are removed as soon as it is written, not
+    when the driver happens to collect garbage, so a chain of such tables needs
+    the disk of its largest step.
     """
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_dir(spark)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
