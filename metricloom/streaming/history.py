@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -97,6 +99,12 @@ def _nulls(values: pd.Series) -> list:
     return [None if missing else v for v, missing in zip(values.tolist(), values.isna().tolist(), strict=True)]
 
 
+# The processor travels by value: Spark runs its ``init`` once in a Python
+# process of the driver that gets neither the shipped Python files nor this
+# package's path, so it must not need to import this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def retained(
     points: DataFrame,
     retention: float | None = None,

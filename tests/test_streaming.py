@@ -240,3 +240,20 @@ def test_state_of_a_stream_holds_the_history(spark, make_points, tmp_path, chunk
     assert read_history(spark, cp, batch_id=0).count() == len(
         series.series_history(points.where("id <= 20").withColumn("arrived", arrived), **how).collect()
     )
+
+
+def test_history_processor_loads_where_the_package_is_not_importable(tmp_path):
+    """Spark runs the processor's ``init`` in a driver-side Python process without the package's path."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from metricloom.streaming.history import RetainedSeries
+
+    blob = cloudpickle.dumps(RetainedSeries(None, 5.0, chunk=3))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = "import pickle, sys; p = pickle.loads(sys.stdin.buffer.read()); print(p.cutoff, p.chunk)"
+    done = subprocess.run([sys.executable, "-c", code], input=blob, cwd=tmp_path, env=env, capture_output=True)
+    assert done.returncode == 0, done.stderr.decode()[-500:]
+    assert done.stdout.decode().split() == ["5.0", "3"]
