@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from . import attributes as _attributes
 from . import numbers as _numbers
@@ -45,12 +45,34 @@ metric_map_json = _column(_text.metric_map_json_sql)
 sanitize_label = _column(_text.sanitize_label_sql)
 sanitize_metric = _column(_text.sanitize_metric_sql)
 
+_NESTED_PARTS = "metricloom_nested_parts"
+
+
+def attrs_to_json_folded(attributes: str) -> Column:
+    """``attrs_to_json``, but nested arrays and key-value lists are folded per row by a Python helper
+    (``otlp.nested_parts``), registered as a function of the active session;
+    scalars and keys are formatted in SQL.
+    """
+    spark = SparkSession.getActiveSession()
+    spark.udf.register(
+        _NESTED_PARTS,
+        F.udf(
+            lambda items: None if items is None else [
+                None if item is None else _otlp.nested_parts(item["kind"], item["text"]) for item in items
+            ],
+            _otlp.NESTED_PARTS,
+        ),
+    )
+    return F.expr(_otlp.attrs_to_json_sql(attributes, _NESTED_PARTS))
+
+
 __all__ = [
     "any_value_to_json",
     "as_i32",
     "as_i64",
     "attr",
     "attrs_to_json",
+    "attrs_to_json_folded",
     "escape_label",
     "fmt_f64",
     "format_labels",

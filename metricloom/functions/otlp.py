@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from .binding import last_per_key, let
 from .numbers import json_f64_sql
 from .text import json_str_sql
@@ -149,24 +152,184 @@ def _nested_text(value: str) -> str:
     )
 
 
-def _keyed(entries: str) -> str:
+def _keyed(entries: str, parts: str | None = None) -> str:
+    nested = None if parts is None else f"element_at({parts}, ki + 1)"
     return (
         f"transform({entries}, (ke, ki) -> named_struct("
-        f"'k', coalesce(ke.key, ''), 'i', ki, 'v', {any_value_to_json_sql('ke.value')}))"
+        f"'k', coalesce(ke.key, ''), 'i', ki, 'v', {any_value_to_json_sql('ke.value', nested)}))"
     )
 
 
-def any_value_to_json_sql(value: str) -> str:
-    """One attribute value as JSON text; arrays and key-value lists may nest to any depth."""
+def any_value_to_json_sql(value: str, parts: str | None = None) -> str:
+    """One attribute value as JSON text; arrays and key-value lists may nest to any depth.
+
+    ``parts`` is what ``nested_parts`` gave for the value's nested member; without
+    it, the nesting is folded in SQL.
+    """
     scalars = " ".join(
         f"WHEN {value}.{m} IS NOT NULL THEN {_scalar_text(m, f'{value}.{m}')}" for m in _SCALARS
     )
+    nested = _nested_text(value) if parts is None else _assembled(parts)
     return (
         f"CASE {scalars} WHEN {value}.arrayValue IS NOT NULL OR {value}.kvlistValue IS NOT NULL"
-        f" THEN {_nested_text(value)} ELSE 'null' END"
+        f" THEN {nested} ELSE 'null' END"
+    )
+
+
+def attrs_to_json_sql(attributes: str, nested_parts_fn: str | None = None) -> str:
+    """An attribute list as JSON object text; NULL when the list is empty.
+
+    With ``nested_parts_fn``, the name of a function that applies ``nested_parts``
+    to each item of ``NESTED_INPUT``, nested values are folded by it.
+    """
+    if nested_parts_fn is None:
+        return f"CASE WHEN size({attributes}) > 0 THEN {_object_text(_keyed(attributes))} END"
+    parts = f"{nested_parts_fn}({nested_input_sql(attributes)})"
+    keyed = let("np", parts, _object_text(_keyed(attributes, "np")))
+    return f"CASE WHEN size({attributes}) > 0 THEN {keyed} END"
+
+
+# --- nested values, folded by a Python helper ------------------------------------
+
+NESTED_INPUT = "array<struct<kind:string,text:string>>"
+NESTED_PARTS = "array<struct<pieces:array<string>,kinds:array<string>,texts:array<string>>>"
+
+
+def nested_input_sql(attributes: str) -> str:
+    """Per attribute, the nested member's kind and JSON text, when no scalar member is set."""
+    scalar = " OR ".join(f"ke.value.{m} IS NOT NULL" for m in _SCALARS)
+    return (
+        f"transform({attributes}, ke -> CASE WHEN NOT ({scalar}) AND (ke.value.arrayValue IS NOT NULL"
+        f" OR ke.value.kvlistValue IS NOT NULL) THEN named_struct('kind', CASE WHEN ke.value.arrayValue"
+        f" IS NOT NULL THEN 'arrayValue' ELSE 'kvlistValue' END, 'text',"
+        f" to_json(coalesce(ke.value.arrayValue, ke.value.kvlistValue))) END)"
+    )
+
+
+def _assembled(parts: str) -> str:
+    """The JSON text of ``nested_parts``: pieces with the scalars and keys between them, formatted in SQL."""
+    leaf = " ".join(
+        f"WHEN '{m}' THEN {_scalar_text(m, 'get(pp.texts, pj)')}" for m in _SCALARS
     )
+    formatted = f"CASE get(pp.kinds, pj) WHEN 'key' THEN {json_str_sql('get(pp.texts, pj)')} {leaf} END"
+    return let("pp", parts, f"array_join(transform(pp.pieces, (pc, pj) -> concat(pc, coalesce({formatted}, ''))), '')")
+
+
+_PY_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\]]|[^ \t\n\x0b\f\r{}\[\]:,"]+')
+_RANK = {m: i for i, m in enumerate(_SCALARS)}
+
+
+class _Frame:
+    __slots__ = ("role", "name", "rank", "out", "key", "items")
+
+    def __init__(self, role: str, name=None):
+        self.role, self.name, self.rank, self.out, self.key, self.items = role, name, 99, None, [""], []
+
+
+def _py_opened(f: _Frame, tk: str) -> str:
+    if f.role == "value" and f.name == "arrayValue" and tk == "{":
+        return "array"
+    if f.role == "value" and f.name == "kvlistValue" and tk == "{":
+        return "kvlist"
+    if f.role in ("array", "kvlist") and f.name == "values" and tk == "[":
+        return f"{f.role} items"
+    if f.role == "array items" and tk == "{":
+        return "value"
+    if f.role == "kvlist items" and tk == "{":
+        return "entry"
+    if f.role == "entry" and f.name == "value" and tk == "{":
+        return "value"
+    return "other"
 
 
-def attrs_to_json_sql(attributes: str) -> str:
-    """An attribute list as JSON object text; NULL when the list is empty."""
-    return f"CASE WHEN size({attributes}) > 0 THEN {_object_text(_keyed(attributes))} END"
+def _py_closed(f: _Frame):
+    if f.role == "array items":
+        out = ["["]
+        for n, (_, _, v) in enumerate(f.items):
+            out += ([","] if n else []) + v
+        return out + ["]"]
+    if f.role == "kvlist items":
+        # Sorted by key, then position; the last of a key wins.
+        ordered = sorted(f.items, key=lambda e: (e[0][0], e[1]))
+        kept = [e for n, e in enumerate(ordered) if n == len(ordered) - 1 or ordered[n + 1][0][0] != e[0][0]]
+        out = ["{"]
+        for n, (k, _, v) in enumerate(kept):
+            out += ([","] if n else []) + [("key", k[0]), ":"] + v
+        return out + ["}"]
+    if f.role == "array":
+        return f.out if f.out is not None else ["[]"]
+    if f.role == "kvlist":
+        return f.out if f.out is not None else ["{}"]
+    if f.role == "other":
+        return None
+    return f.out if f.out is not None else ["null"]
+
+
+def _py_given(f: _Frame, child: _Frame, text) -> None:
+    if f.role in ("array items", "kvlist items"):
+        f.items.append((child.key, len(f.items), text if text is not None else ["null"]))
+    elif child.role != "other" and f.role == "value":
+        nested = len(_SCALARS) if f.name == "arrayValue" else len(_SCALARS) + 1
+        if nested < f.rank:
+            f.rank, f.out = nested, text
+    elif child.role != "other":
+        f.out = text
+    f.name = None
+
+
+def _py_taken(f: _Frame, tk: str) -> None:
+    if tk.startswith('"'):
+        try:
+            tx = json.loads(tk)
+        except ValueError:
+            tx = None
+    else:
+        tx = tk
+    if f.role in ("array items", "kvlist items"):
+        f.items.append(([""], len(f.items), ["null"]))
+        f.name = None
+    elif f.role == "other":
+        pass
+    elif f.name is None:
+        f.name = tx
+    elif tk == "null":
+        f.name = None
+    elif f.role == "value":
+        i = _RANK.get(f.name)
+        if i is not None and i < f.rank:
+            f.rank, f.out = i, [(f.name, tx)]
+        f.name = None
+    elif f.role == "entry" and f.name == "key":
+        f.key, f.name = [tx], None
+    else:
+        f.name = None
+
+
+def nested_parts(kind: str | None, text: str | None) -> dict | None:
+    """The fold of ``_nested_text`` in Python, over the same tokens.
+
+    Gives the JSON text as ``pieces`` with a scalar or key between each two:
+    its member (or ``key``) in ``kinds`` and its text in ``texts``, formatted
+    afterwards in SQL exactly as the scalars of the outermost value are.
+    """
+    if kind is None or text is None:
+        return None
+    stack = [_Frame("value", kind)]
+    for tk in _PY_TOKEN.findall(text):
+        if tk in ("{", "["):
+            stack.append(_Frame(_py_opened(stack[-1], tk)))
+        elif tk in ("}", "]"):
+            child = stack.pop()
+            _py_given(stack[-1], child, _py_closed(child))
+        else:
+            _py_taken(stack[-1], tk)
+    done = stack[0].out if stack[0].out is not None else ["[]" if kind == "arrayValue" else "{}"]
+    pieces, kinds, texts = [""], [], []
+    for part in done:
+        if isinstance(part, str):
+            pieces[-1] += part
+        else:
+            kinds.append(part[0])
+            texts.append(part[1])
+            pieces.append("")
+    return {"pieces": pieces, "kinds": kinds, "texts": texts}

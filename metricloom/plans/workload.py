@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import attrs_to_json, fmt_f64, format_labels, parse_labels, sanitize_metric
+from ..functions import attrs_to_json_folded, fmt_f64, format_labels, parse_labels, sanitize_metric
 from ..operators import buckets, catalog, extracts, filters, naming, samples, series
 from ..operators.flatten import flatten
 from ..schema import KEY_VALUE, METRIC_SCHEMA, POINT_COLUMNS, TABLE_NAME
@@ -551,7 +551,7 @@ def otlp_attr_types(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         F.from_json(F.expr(_attribute_list()), f"array<{KEY_VALUE.simpleString()}>").alias("kvs"),
     )
-    return lists.select("event_id", attrs_to_json("kvs").alias("attrs"))
+    return lists.select("event_id", attrs_to_json_folded("kvs").alias("attrs"))
 
 
 # Two levels, an array that holds a key-value list, as often as the event says: up to 16 levels.
@@ -572,7 +572,7 @@ def otlp_deep_attrs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", f"concat('[{{\"key\":\"deep\",\"value\":', {value}, '}}]') AS text"
     )
     lists = texts.select("event_id", F.from_json("text", f"array<{KEY_VALUE.simpleString()}>").alias("kvs"))
-    return lists.select("event_id", attrs_to_json("kvs").alias("attrs"))
+    return lists.select("event_id", attrs_to_json_folded("kvs").alias("attrs"))
 
 
 @_register(
