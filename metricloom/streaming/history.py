@@ -18,6 +18,8 @@ from .ingest import start
 CHUNK = 512
 _LABELS = "array<struct<k:string,v:string>>"
 _SAMPLE = "struct<id:bigint,timestamp:double,value:double,metric_type:string>"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGES = "series_name string, label_text string, kept bigint, evicted bigint, cutoff double"
 
 
@@ -165,7 +167,18 @@ def run_history(
         else:
             batch.write.format("noop").mode("overwrite").save()
 
-    return start(retained(points, retention, cutoff, arrival, chunk), write, checkpoint, "update", **trigger)
+    # The state has two variables, which only the RocksDB store can hold. The
+    # setting is taken when the query starts and kept in its checkpoint.
+    conf = points.sparkSession.conf
+    before = conf.get(_PROVIDER, None)
+    conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        return start(retained(points, retention, cutoff, arrival, chunk), write, checkpoint, "update", **trigger)
+    finally:
+        if before is None:
+            conf.unset(_PROVIDER)
+        else:
+            conf.set(_PROVIDER, before)
 
 
 def read_history(spark: SparkSession, checkpoint: str, batch_id: int | None = None) -> DataFrame:

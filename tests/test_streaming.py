@@ -257,3 +257,20 @@ def test_history_processor_loads_where_the_package_is_not_importable(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], input=blob, cwd=tmp_path, env=env, capture_output=True)
     assert done.returncode == 0, done.stderr.decode()[-500:]
     assert done.stdout.decode().split() == ["5.0", "3"]
+
+
+def test_history_runs_on_a_session_with_the_default_state_store(spark, make_points, tmp_path):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    default = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    make_points([{"metric_name": "m", "timestamp_ns": i * S, "value_int": i} for i in range(6)]).write.parquet(
+        str(tmp_path / "in")
+    )
+    spark.conf.set(key, default)
+    try:
+        stream = spark.readStream.schema(METRIC_SCHEMA).parquet(str(tmp_path / "in"))
+        run_history(stream, str(tmp_path / "cp"), cutoff=2.0, available_now=True).awaitTermination()
+        assert spark.conf.get(key) == default
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(r.value for r in read_history(spark, str(tmp_path / "cp")).collect()) == [2.0, 3.0, 4.0, 5.0]
