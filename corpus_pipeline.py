@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.llm import bpe, decontaminate, jaccard_join, queries, secret_scan, toxicity
-from metricloom.sources.scratch import written
+from metricloom.sources.scratch import dropped, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -30,15 +30,12 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     without words are linked with nothing and stay.
     """
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    tagged = docs.select(COLUMNS).withColumn("digest", digest)
-    groups = jaccard_join.jaccard_components(
-        tagged.select(F.struct("doc_id", "digest").alias("key"), "text"), "key", "text", shingle=5, threshold=80
-    )
-    kept = groups.where("component_id <=> key").select(
-        F.col("key.doc_id").alias("kept_id"), F.col("key.digest").alias("kept_digest")
-    )
-    same = F.expr("doc_id <=> kept_id AND digest = kept_digest")
-    return tagged.join(kept, same, "left_semi").dropDuplicates(["doc_id", "digest"]).select(COLUMNS)
+    # A key is never null itself, and keys of equal digests and null doc_ids are equal:
+    # texts are dealt by it once, for the join and for the copies.
+    tagged = docs.select(*COLUMNS, F.struct("doc_id", digest.alias("digest")).alias("key"))
+    groups = jaccard_join.jaccard_components(tagged, "key", "text", shingle=5, threshold=80)
+    kept = groups.where("component_id <=> key").select("key")
+    return tagged.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,8 +76,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again in place of the one before."""
     docs = queries.table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir))
+        if i:
+            dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

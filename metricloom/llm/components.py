@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.sources.scratch import written
+from metricloom.sources.scratch import dropped, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     Alternating star contraction: each round hangs a node's larger neighbours on
     its least neighbour, then its smaller ones, until nothing changes. A round is
     two aggregations and joins with one row per link, and is written to the
-    shared folder, so lineage stays short and no node's links are ever gathered.
+    shared folder in place of the last, so lineage stays short and no node's links
+    are ever gathered.
     Links with a null end are ignored.
     """
     edges = written(
@@ -28,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         before = after
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _hang(both, F.col("v") > F.col("u"))
-        edges = written(_hang(large, F.lit(True), keep=True))
+        before_round, edges = edges, written(_hang(large, F.lit(True), keep=True))
+        dropped(before_round)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -19,18 +19,20 @@ both keep.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.batches import text_slices
 from metricloom.llm.components import components
 from metricloom.llm.words import blocks, grams, mix
-from metricloom.sources.scratch import written
+from metricloom.sources.scratch import dropped, written
 
 #: Sizes in one band differ by this factor at most.
 BAND = 1.4
@@ -38,6 +40,16 @@ BAND = 1.4
 SPARE = 6
 #: 64-bit words of the parity sketch by which far pairs are told apart without their texts.
 SKETCH = 8
+#: Cells of the largest sketch that a set of more elements than 64 * SKETCH has besides.
+WIDE = 1 << 15
+#: Bytes of a signature on its way to equal ones: six of its own and six of its class.
+PACKED = 12
+#: Signatures that a task packs at once, and the most that meet in a bucket on average.
+MEET = 1 << 18
+#: Bytes of texts or sketches that a task is handed at once.
+BATCH = 4 << 20
+#: Bytes of signatures that are on their way at once for each element; its word takes about seven in the text.
+ON_WAY = 9
 #: Digests of sets a task remembers so that copies are signed once.
 REMEMBER = 1 << 18
 
@@ -76,17 +88,27 @@ def bands(threshold: int, size: int) -> list[tuple[int, int]]:
         band, upper = band + 1, max(upper + 1, int(upper * BAND))
 
 
+def _partitions(threshold: int, upper: int) -> tuple[int, int]:
+    """Partitions of a band, none where sets cannot differ, and how many of them no differences spoil."""
+    k = 2 * upper * (100 - threshold) // (100 + threshold)
+    spare = 1 + -(-k // SPARE)
+    return (k // 2 + spare if k else 0), spare
+
+
+def most_signatures(threshold: int, size: int) -> int:
+    """As many signatures as a set of ``size`` has at most."""
+    return sum(max(1, len(_PAIRS) * _partitions(threshold, upper)[0]) for _, upper in bands(threshold, size))
+
+
 def signatures(elements: np.ndarray, threshold: int) -> np.ndarray:
     """PartEnum signatures of one set of 64-bit hashes; ``threshold`` in hundredths."""
     out = []
     for band, upper in bands(threshold, len(elements)):
-        k = 2 * upper * (100 - threshold) // (100 + threshold)
+        n1, spare = _partitions(threshold, upper)
         with np.errstate(over="ignore"):
-            if k == 0:
+            if n1 == 0:
                 out.append(mix(np.array([elements.sum() + np.uint64(band)], np.uint64)))
                 continue
-            spare = 1 + -(-k // SPARE)
-            n1 = k // 2 + spare
             scrambled = mix(elements ^ _SALT)
             block = (scrambled % np.uint64(3 * n1)).astype(np.int64)
             low = np.bincount(block, (elements & np.uint64(0xFFFFFFFF)).astype(float), 3 * n1)
@@ -123,13 +145,33 @@ def _sets(k: int):
     return run
 
 
-def _signs(k: int, threshold: int):
-    """Texts as ``(sign, c)``, a row for each signature; copies that a task meets again are left out."""
+def _class(digest: bytes) -> int:
+    """The 48-bit form of a digest. Only candidates are found by it, so a chance equality costs a test."""
+    return int.from_bytes(digest[:6], "big")
+
+
+def _packed(signs: np.ndarray, classes: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """``(bucket, packed)``: the low 48 bits of signatures and their classes, by the signatures' high bits."""
+    bucket = ((signs >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    order = np.argsort(bucket, kind="stable")
+    bucket, signs, classes = bucket[order], signs[order], classes[order]
+    words = np.empty((len(signs), PACKED // 4), np.uint32)
+    words[:, 0] = signs & np.uint64(0xFFFFFFFF)
+    words[:, 1] = classes & np.uint64(0xFFFFFFFF)
+    words[:, 2] = ((signs >> np.uint64(32)) & np.uint64(0xFFFF)) | ((classes >> np.uint64(32)) << np.uint64(16))
+    own, first = np.unique(bucket, return_index=True)
+    ends = np.append(first, len(signs)).astype(np.int32) * np.int32(PACKED)
+    blobs = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(ends), pa.py_buffer(words)])
+    return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), blobs], names=["bucket", "packed"])
+
+
+def _signs(k: int, threshold: int, buckets: int, turn: int, turns: int):
+    """Texts as ``_packed`` signatures, in each of ``turns`` others; copies that a task meets again are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        signs, classes, held = [], [], 0
         for batch in text_slices(batches):
-            signs, classes = [], []
             for elements in shingle_sets(batch.column("text"), k):
                 digest = _digest(elements)
                 if not len(elements) or digest in seen:
@@ -137,17 +179,45 @@ def _signs(k: int, threshold: int):
                 if len(seen) >= REMEMBER:
                     seen.clear()
                 seen.add(digest)
-                own = signatures(elements, threshold)
+                own = signatures(elements, threshold).view(np.uint64)
+                own = own[own % np.uint64(turns) == turn] if turns > 1 else own
                 signs.append(own)
-                classes.append(np.full(len(own), int.from_bytes(digest[:8], "big", signed=True)))
-            if signs:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(signs)), pa.array(np.concatenate(classes))], names=["sign", "c"]
-                )
+                classes.append(np.full(len(own), _class(digest), np.uint64))
+                held += len(own)
+                if held >= MEET:
+                    yield _packed(np.concatenate(signs), np.concatenate(classes), buckets)
+                    signs, classes, held = [], [], 0
+        if held:
+            yield _packed(np.concatenate(signs), np.concatenate(classes), buckets)
 
     return run
 
 
+def _meetings(table: pa.Table) -> pa.Table:
+    """Distinct ``(sign, c)`` of one bucket where a signature has more than one class."""
+    words = np.frombuffer(b"".join(table.column("packed").to_pylist()), np.uint32).reshape(-1, PACKED // 4)
+    words = words.astype(np.uint64)
+    signs = words[:, 0] | ((words[:, 2] & np.uint64(0xFFFF)) << np.uint64(32))
+    classes = words[:, 1] | ((words[:, 2] >> np.uint64(16)) << np.uint64(32))
+    del words
+
+    def repeated() -> np.ndarray:
+        same = signs[1:] == signs[:-1]
+        return np.append(same, False) | np.append(False, same)
+
+    order = np.argsort(signs)
+    signs, classes = signs[order], classes[order]
+    more = repeated()
+    signs, classes = signs[more], classes[more]
+    order = np.lexsort((classes, signs))
+    signs, classes = signs[order], classes[order]
+    new = np.append(True, (signs[1:] != signs[:-1]) | (classes[1:] != classes[:-1]))[: len(signs)]
+    signs, classes = signs[new], classes[new]
+    more = repeated()[: len(signs)]
+    high = np.uint64(table.column("bucket")[0].as_py() & 0xFFFF) << np.uint64(48)
+    return pa.table({"sign": (signs[more] | high).view(np.int64), "c": classes[more].view(np.int64)})
+
+
 def _overlap(k: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,36 +237,108 @@ def _overlap(k: int, threshold: int):
     return run
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parities of the element counts of 64 * SKETCH cells.
+def sketch(elements: np.ndarray, cells: int = 64 * SKETCH) -> np.ndarray:
+    """Parities of the element counts of so many cells, a power of two.
 
     Each element in which two sets differ turns one parity over, so sets never
-    differ in fewer elements than their sketches in bits.
+    differ in fewer elements than their sketches in bits. Unrelated sets differ in
+    about half the cells at most, so that says little of sets that may differ in
+    more elements than that. The halves of a sketch make that of half as many cells.
     """
-    cells = (mix(elements + _SALT) % np.uint64(64 * SKETCH)).astype(np.int64)
-    odd = (np.bincount(cells, minlength=64 * SKETCH) & 1).astype(np.uint8)
+    at = (mix(elements + _SALT) % np.uint64(cells)).astype(np.int64)
+    odd = (np.bincount(at, minlength=cells) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
-def _texts(k: int):
+def wide_sketch(elements: np.ndarray) -> bytes:
+    """A sketch of as many cells as elements or more, up to ``WIDE``; none if ``SKETCH`` words are enough for that."""
+    cells = min(WIDE, 1 << max(0, len(elements) - 1).bit_length())
+    return sketch(elements, cells).tobytes() if cells > 64 * SKETCH else b""
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two wide sketches differ, as far as the smaller one tells; 0 if there is none."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    while len(x) and len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) if len(x) else 0
+
+
+def _close(threshold: int):
+    """Pairs whose wide sketches let them be similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, parts = [], []
-            for elements in shingle_sets(batch.column("text"), k):
-                sets.append(_digest(elements))
+            sides = zip(*(batch.column(x).to_pylist() for x in ("n_a", "n_b", "wide_a", "wide_b")), strict=True)
+            near = [differing(a, b) * (100 + threshold) <= (m + n) * (100 - threshold) for m, n, a, b in sides]
+            yield batch.select(["c_a", "n_a", "c_b", "n_b"]).filter(pa.array(near, pa.bool_()))
+
+    return run
+
+
+def _texts(k: int):
+    """Texts as ``(set, c, n, text, wide, p0, ...)``; empty sets and copies that a task meets again are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in text_slices(batches):
+            at, sets, n, wide, parts = [], [], [], [], []
+            for i, elements in enumerate(shingle_sets(batch.column("text"), k)):
+                digest = _digest(elements)
+                if not len(elements) or digest in seen:
+                    continue
+                if len(seen) >= REMEMBER:
+                    seen.clear()
+                seen.add(digest)
+                at.append(i)
+                sets.append(digest)
+                n.append(len(elements))
+                wide.append(wide_sketch(elements))
                 parts.append(sketch(elements))
             parts = np.array(parts, np.int64).reshape(len(sets), SKETCH)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sets, pa.binary()), batch.column("text"), *(pa.array(parts[:, i]) for i in range(SKETCH))],
-                names=["set", "text", *_PARTS],
+                [
+                    pa.array(sets, pa.binary()),
+                    pa.array([_class(x) for x in sets], pa.int64()),
+                    pa.array(n, pa.int64()),
+                    batch.column("text").take(pa.array(at, pa.int64())),
+                    pa.array(wide, pa.binary()),
+                    *(pa.array(parts[:, i]) for i in range(SKETCH)),
+                ],
+                names=["set", "c", "n", "text", "wide", *_PARTS],
             )
 
     return run
 
 
 def _short(column: str):
-    """The 64-bit form of a digest. Only candidates are found by it, so a chance equality costs a test."""
-    return F.conv(F.hex(F.substring(column, 1, 8)), 16, -10).cast("long")
+    """``_class`` of a column."""
+    return F.conv(F.hex(F.substring(column, 1, 6)), 16, 10).cast("long")
+
+
+def _met(texts: DataFrame, k: int, threshold: int, sizes: list[tuple[int, int]]) -> list[DataFrame]:
+    """Tables of distinct ``(sign, c)`` where texts of different classes have a signature in common.
+
+    ``sizes`` are numbers of sets of about the same size, and of their elements.
+    Signatures are many times the words of a text. They go to equal ones packed,
+    and in turns by their value, so that no more than ``ON_WAY`` bytes for each
+    element are on their way at once; a turn computes the sets again.
+    """
+    spark = texts.sparkSession
+    elements = sum(n for _, n in sizes)
+    most = sum(sets * most_signatures(threshold, -(-n // sets)) for sets, n in sizes)
+    turns = max(1, math.ceil(PACKED * most / max(1, ON_WAY * elements)))
+    turns = min(turns, max(1, math.ceil(most / MEET)))
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(most / turns / MEET))
+    return [
+        written(
+            texts.mapInArrow(_signs(k, threshold, buckets, turn, turns), "bucket long, packed binary")
+            .groupBy("bucket")
+            .applyInArrow(_meetings, "sign long, c long"),
+            BATCH,
+        )
+        for turn in range(turns)
+    ]
 
 
 def jaccard_components(
@@ -216,21 +358,17 @@ def jaccard_components(
     """
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     key_type = rows.schema["key"].dataType.simpleString()
-    base = written(rows.mapInArrow(_sets(shingle), f"key {key_type}, n long, set binary"))
-    group = Window.partitionBy("sign")
-    signed = rows.select("text").mapInArrow(_signs(shingle, threshold), "sign long, c long")
-    members = written(
-        signed.withColumn("least", F.min("c").over(group))
-        .withColumn("last", F.max("c").over(group))
-        .where("least < last")
-        .select("sign", "c")
-        .distinct()
-    )
+    base = written(rows.mapInArrow(_sets(shingle), f"key {key_type}, n long, set binary"), BATCH)
+    sizes = base.where("n > 0").groupBy(F.floor(F.log2("n"))).agg(F.count("*").alias("sets"), F.sum("n").alias("n"))
+    sizes = [(r["sets"], r["n"]) for r in sizes.collect()]
+    elements = sum(n for _, n in sizes)
+    met = _met(rows.select("text"), shingle, threshold, sizes)
+    members = reduce(DataFrame.unionByName, met)
     shared = members.groupBy("c").agg(F.count("*").alias("shared"))
     classes = written(
         base.where("set IS NOT NULL")
         .groupBy("set")
-        .agg(F.min("key").alias("least"), F.first("n").alias("n"))
+        .agg(F.min("key").alias("least"))
         .withColumn("c", _short("set"))
         .join(shared, "c")
     )
@@ -238,25 +376,62 @@ def jaccard_components(
         classes.select(F.col("least").alias("want")).distinct(), F.expr("key <=> want"), "left_semi"
     )
     parts = ", ".join(f"{p} long" for p in _PARTS)
-    found = wanted.select("text").mapInArrow(_texts(shingle), f"set binary, text string, {parts}")
-    texts = written(found.dropDuplicates(["set"]).join(classes.select("set", "c", "n"), "set").drop("set"))
-    sketches = texts.drop("text")
+    texts = written(
+        wanted.select("text").mapInArrow(
+            _texts(shingle), f"set binary, c long, n long, text string, wide binary, {parts}"
+        ),
+        BATCH,
+    )
+    # Rows of one key are in one task but for small or uneven tables, so texts need not be dealt again as a rule.
+    rows_, sets = texts.agg(F.count("*"), F.count_distinct("set")).first()
+    if rows_ > sets:
+        repeated, texts = texts, written(texts.dropDuplicates(["set"]))
+        dropped(repeated)
+    sketches = texts.select("c", "n", *_PARTS)
     apart = " + ".join(f"bit_count({p}_a ^ {p}_b)" for p in _PARTS)
     near = (
         f"100 * least(n_a, n_b) >= {threshold} * greatest(n_a, n_b)"
         f" AND ({apart}) * {100 + threshold} <= (n_a + n_b) * {100 - threshold}"
     )
+    pair = ["c_a", "n_a", "c_b", "n_b"]
 
     def side(table: DataFrame, which: str) -> DataFrame:
         return table.select(*(F.col(x).alias(f"{x}_{which}") for x in table.columns))
 
-    def tested(pairs: DataFrame) -> DataFrame:
-        return (
-            pairs.join(side(texts.select("c", "text"), "a"), "c_a")
-            .join(side(texts.select("c", "text"), "b"), "c_b")
-            .select("text_a", "text_b")
-            .mapInArrow(_overlap(shingle, threshold), "a binary, b binary")
-        )
+    def with_both(pairs: DataFrame, column: str) -> DataFrame:
+        own = texts.select("c", column)
+        return pairs.join(side(own, "a"), "c_a").join(side(own, "b"), "c_b")
+
+    def dealt(pairs: DataFrame, weight: float) -> list[DataFrame]:
+        """Pairs in parts that bring half of all texts at most, if each element of their ``c_a`` brings ``weight`` words."""
+        parts = math.ceil(2 * weight * (pairs.agg(F.sum("n_a")).first()[0] or 0) / max(1, elements))
+        if parts <= 1:
+            return [pairs]
+        return [pairs.where(F.pmod(F.xxhash64("c_a", "c_b"), F.lit(parts)) == i) for i in range(parts)]
+
+    def tested(pairs: DataFrame) -> list[DataFrame]:
+        pairs = written(pairs.select(pair).distinct())
+        long = F.least("n_a", "n_b") > 64 * SKETCH
+        close = [
+            written(
+                with_both(part, "wide")
+                .select(*pair, "wide_a", "wide_b")
+                .mapInArrow(_close(threshold), ", ".join(f"{x} long" for x in pair)),
+                BATCH,
+            )
+            for part in dealt(pairs.where(long), 1 / 16)
+        ]
+        links = [
+            written(
+                with_both(part, "text")
+                .select("text_a", "text_b")
+                .mapInArrow(_overlap(shingle, threshold), "a binary, b binary"),
+                BATCH,
+            )
+            for part in dealt(reduce(DataFrame.unionByName, close, pairs.where(~long)), 1)
+        ]
+        dropped(pairs, *close)
+        return links
 
     hubs = (
         members.join(shared, "c")
@@ -265,6 +440,7 @@ def jaccard_components(
         .select("sign", F.col("top.c").alias("hub"))
     )
     members = written(members.join(hubs, "sign"))
+    dropped(*met)
     stars = (
         members.where("c <> hub")
         .select(F.col("hub").alias("c_a"), F.col("c").alias("c_b"))
@@ -272,9 +448,9 @@ def jaccard_components(
         .join(side(sketches, "a"), "c_a")
         .join(side(sketches, "b"), ["c_b"])
         .where(near)
-        .select("c_a", "c_b")
     )
-    links = written(tested(stars))
+    found = tested(stars)
+    links = reduce(DataFrame.unionByName, found)
     labels = written(components(links))
     placed = members.join(
         classes.join(labels, classes["set"] == labels["node"], "left").select(
@@ -294,14 +470,17 @@ def jaccard_components(
         .select("sign", "c", "component")
         .join(sketches, "c")
     )
-    pairs = (
-        side(rest, "a")
-        .join(side(rest, "b"), F.expr(f"sign_a = sign_b AND c_a < c_b AND component_a <> component_b AND {near}"))
-        .select("c_a", "c_b")
-        .distinct()
+    dropped(members, classes)
+    pairs = side(rest, "a").join(
+        side(rest, "b"), F.expr(f"sign_a = sign_b AND c_a < c_b AND component_a <> component_b AND {near}")
     )
-    more = written(tested(pairs))
-    labels = components(links.unionByName(more)) if more.take(1) else labels
+    more = tested(pairs)
+    dropped(rest, texts)
+    links = reduce(DataFrame.unionByName, more, links)
+    if any(x.take(1) for x in more):
+        dropped(labels)
+        labels = written(components(links))
+    dropped(*found, *more)
     # The least key of each class, then of each component, then back to the rows by class:
     # a component's rows are never brought together.
     firsts = base.where("set IS NOT NULL").groupBy("set").agg(F.min("key").alias("first"))

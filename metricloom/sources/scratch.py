@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -24,7 +25,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
     """``df`` computed once into a scratch table and read back.
 
     Cuts the lineage on storage that outlives executors. The read-back also has
@@ -33,14 +34,30 @@ def written(df: DataFrame) -> DataFrame:
     estimate for an aggregate would always say "too large" and shuffle both
     sides. The shuffle files behind it are removed as soon as it is written, not
     when the driver happens to collect garbage, so a chain of such tables needs
-    the disk of its largest step.
+    the disk of its largest step, if those that have been read go to ``dropped``.
+    With ``batch_bytes`` Python functions get batches of about that size at most.
     """
     spark = df.sparkSession
     path = scratch_dir(spark)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    own = {_CLEANUP: "true"}
+    if batch_bytes:
+        own[_BATCH] = str(batch_bytes)
+    before = {name: spark.conf.get(name) for name in own}
     try:
+        for name, value in own.items():
+            spark.conf.set(name, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes the folders of tables that ``written`` gave; what is still to be computed from them would fail."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

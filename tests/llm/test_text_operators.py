@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -450,6 +451,56 @@ def test_similar_sets_share_a_signature():
             assert np.intersect1d(jaccard_join.signatures(a, 90), jaccard_join.signatures(b, 90)).size
 
 
+def test_wide_sketches_tell_long_sets_apart():
+    pick = np.random.default_rng(6)
+    for m, n, shared in ((600, 600, 0), (600, 520, 520), (1500, 1300, 0), (2100, 2000, 1000), (3000, 2900, 2880)):
+        own = pick.integers(0, 1 << 63, m + n - shared).astype(np.uint64)
+        a, b = own[:m], own[m - shared :]
+        found = jaccard_join.differing(jaccard_join.wide_sketch(a), jaccard_join.wide_sketch(b))
+        assert found <= m + n - 2 * shared
+        alike = 100 * shared >= 80 * (m + n - shared)
+        assert (found * 180 <= (m + n) * 20) == alike
+    # A set of up to 512 elements has none besides the short sketch.
+    assert jaccard_join.wide_sketch(own[:512]) == b"" and jaccard_join.differing(b"", b"12345678") == 0
+
+
+def test_jaccard_join_in_turns_moves_no_texts_of_far_pairs(spark, monkeypatch):
+    """Long texts that only have passages in common are paired by signatures, and told apart by sketches."""
+    passages = [some_words(500 + i, 12) for i in range(6)]
+    rows = []
+    for i in range(30):
+        words = some_words(100 + i, 1500)
+        for j, passage in enumerate(passages):
+            words[200 * j : 200 * j + 12] = passage
+        rows.append((i, " ".join(words)))
+    for i in range(30, 42):
+        words = rows[i % 3][1].split()
+        words[700:700] = some_words(i, 20 * (i % 5))
+        rows.append((i, " ".join(words)))
+    tables = []
+
+    def counted(df, *more):
+        tables.append((df.columns, written(df, *more)))
+        return tables[-1][1]
+
+    written = jaccard_join.written
+    monkeypatch.setattr(jaccard_join, "MEET", 256)
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    before = set(scratch_folders(spark))
+    found = jaccard_join.jaccard_components(frame, threshold=80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()}
+    assert got == brute_components(rows, 3, 80)
+    assert len([x for x, _ in tables if x == ["sign", "c"]]) == 2
+    # Of the tables only those that the result reads are left, none of them with texts.
+    left = {tuple(spark.read.parquet(str(x)).columns) for x in set(scratch_folders(spark)) - before}
+    assert left == {("key", "n", "set"), ("node", "component"), ("u", "v")}
+
+
+def scratch_folders(spark):
+    return Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")).glob("scratch-*")
+
+
 def test_components(spark):
     pick = random.Random(9)
     links = [(pick.randrange(80), pick.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]
@@ -542,6 +593,32 @@ def test_pipeline_drops_near_copies_at_five_words(spark):
     assert sorted(r["doc_id"] for r in kept) == [0, 2, 4]
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    one, other = " ".join(some_words(21, 60)), " ".join(some_words(22, 60))
+    rows = [(None, one), (None, one), (None, other), (3, one), (4, None), (4, None), (None, None), (None, ""), (5, other)]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    kept = corpus_pipeline.keep_one_of_each_group(spark, docs, "/root/testdata/sf0.001")
+    got = sorted(((r["doc_id"], r["text"] or "") for r in kept.collect()), key=str)
+    assert got == sorted([(None, one), (None, other), (4, ""), (None, "")], key=str)
+    # The texts are dealt once for the join and the copies.
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in plain}
+    try:
+        for k, v in plain.items():
+            spark.conf.set(k, v)
+        plan = kept.select("*")._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    copies = next(i for i, x in enumerate(plan) if "first(text" in x)
+    joined = next(i for i, x in enumerate(plan) if "LeftSemi" in x)
+    assert copies < joined and not any("Exchange" in x for x in plan[copies:joined])
+
+
 @pytest.mark.parametrize("name", queries.QUERIES)
 def test_registered_queries_run(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
