@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from metricloom.operators import extracts, series
 from metricloom.operators.flatten import flatten
+from metricloom.sources import arrival
 from metricloom.sources import points as tables
 from metricloom.sources.commits import CommitConflict, CommitLog, DataFile, first_files
 from metricloom.sources.otlp import BAD_NUMBER, NOT_A_REQUEST, accepted, read_otlp, rejected
@@ -53,6 +54,16 @@ def test_commits_are_compacted_and_conflicts_refused(spark, make_points, tmp_pat
         log.files.publish(f"{log.folder}/{23:020d}.json", "")
 
 
+def test_ids_are_dense_where_rows_were_left_out(spark, make_points, monkeypatch):
+    points = some_points(make_points, 300).drop("id").repartitionByRange(3, "timestamp_ns").sortWithinPartitions("timestamp_ns")
+    monkeypatch.setattr(arrival, "RANKED", 16)
+    for keep, n in (("true", 300), ("timestamp_ns % 7 <> 3", 257), ("timestamp_ns > 150", 149)):
+        with arrival.staged(points) as kept:
+            found = arrival.numbered(kept.where(keep), 1000).orderBy("timestamp_ns")
+            assert found.columns == [*points.columns, "id"]
+            assert [r["id"] for r in found.select("id").collect()] == list(range(1001, 1001 + n))
+
+
 def test_batch_replaced_by_an_empty_one(spark, make_points, tmp_path):
     log = CommitLog(spark, str(tmp_path / "t"))
     log.append(some_points(make_points, 3), "a", 0)
